@@ -8,9 +8,14 @@
 3. In each bucket of two or more, edges go from every member to one centre: the
    member with the smallest share of shingles that no other candidate has.  A
    star of m members has m - 1 edges where all pairs would be m * (m - 1) / 2.
-4. Members of a bucket that are still in different components are paired where a
-   bound allows a link: of n shingles, u that no other candidate has, at most
-   n - u can be shared.  So the star loses no link.
+4. What the stars leave open, members of one bucket in different components, is
+   searched without pairing whole buckets.  Linked sets share one of their rarest
+   shingles (prefix filter: the n - ceil(similarity * n) + 1 rarest of n).  A
+   shingle that at most ``RARE`` candidates have is joined on, so a shingle makes
+   few pairs.  Linked sets that this misses share no rare shingle at all, so of n
+   shingles with v rare ones they share n - v at most: only members for which
+   that is enough, close to what their whole group has in common, are paired in
+   their bucket.  So the stars lose no link.
 5. Every edge is confirmed on the full sets before it counts.
 
 Sets of fewer than ``LEAST`` shingles can only be linked with equal sets at the
@@ -34,6 +39,8 @@ from quantloom.llm.textkernel import U64, mix, shingle_sets, slices, stream
 SIMILARITY = 85
 BINS, ROWS = 96, 4
 BANDS = BINS // ROWS
+#: Candidates that may share a shingle for it to be joined on.
+RARE = 16
 #: With fewer shingles than this, no other set can reach the threshold.
 LEAST = 6
 
@@ -139,8 +146,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     # full sets of candidates only, and how many shingles each shares with no other
     own = texts.join(maybe_broadcast(wanted, 16), "doc_id", "left_semi")
     sets = saved(own.mapInArrow(_sets, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "shingle-sets")
-    alone = sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")).filter("df = 1")
-    alone = saved(alone.groupBy("doc_id").agg(F.count("*").alias("u")), "own-shingles")
+    spread = saved(sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")), "shingle-spread")
+    alone = saved(spread.filter("df = 1").groupBy("doc_id").agg(F.count("*").alias("u")), "own-shingles")
     buckets = buckets.join(alone, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("u", F.lit(0)).alias("u"))
     # who shares too little with all others together has no link: an exact proof
     buckets = saved(buckets.filter((F.col("n") - F.col("u")) * 100 >= F.col("n") * similarity), "open-buckets")
@@ -156,11 +163,26 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     named = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "u", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").select("key")
     named = saved(named.join(mixed, "key"), "open-members")
-    left = named.select("key", *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "n", "u", "component")))
-    right = named.select("key", *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "n", "u", "component")))
-    possible = _possible(F.col("a_n"), F.col("b_n"), F.col("a_u"), F.col("b_u"), similarity)
-    pairs = left.join(right, (left["key"] == right["key"]) & (F.col("a_doc_id") < F.col("b_doc_id")) & (F.col("a_component") != F.col("b_component")) & possible)
-    pairs = pairs.select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    open_docs = named.select("doc_id", "n", "u", "component").distinct()
+    rarest = sets.join(open_docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+    rarest = rarest.join(spread.filter("df > 1").select("s", "df"), "s", "left").select("doc_id", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s").alias("x"))
+    length = (F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1).cast("int")
+    rarest = rarest.groupBy("doc_id", "n").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    rare = F.size(F.filter("x", lambda e: e["df"] <= RARE))
+    rarest = rarest.select("doc_id", rare.alias("v"), F.slice("x", F.lit(1), length).alias("x"))
+    rarest = saved(rarest.join(open_docs, "doc_id").select("doc_id", "n", "u", "v", "component", F.filter("x", lambda e: (e["df"] > 1) & (e["df"] <= RARE))["s"].alias("rare"), (F.element_at("x", -1)["df"] > RARE).alias("core")), "rarest")
+
+    def sides(rows: DataFrame, key: str) -> DataFrame:
+        left = rows.select(F.col(key).alias("a_key"), *(F.col(c).alias(f"a_{c}") for c in ("doc_id", "n", "u", "component")))
+        right = rows.select(F.col(key).alias("b_key"), *(F.col(c).alias(f"b_{c}") for c in ("doc_id", "n", "u", "component")))
+        possible = _possible(F.col("a_n"), F.col("b_n"), F.col("a_u"), F.col("b_u"), similarity)
+        on = (F.col("a_key") == F.col("b_key")) & (F.col("a_doc_id") < F.col("b_doc_id")) & (F.col("a_component") != F.col("b_component")) & possible
+        return left.join(right, on).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b"))
+
+    by_shingle = sides(rarest.select("doc_id", "n", "u", "component", F.explode("rare").alias("s")), "s")
+    core = rarest.filter(F.col("core") & ((F.col("n") - F.col("v")) * 100 >= F.col("n") * similarity)).select("doc_id", "n", F.col("v").alias("u"), "component")
+    by_bucket = sides(named.select("key", "doc_id").join(core, "doc_id"), "key")
+    pairs = by_shingle.unionAll(by_bucket).distinct().join(star, ["a", "b"], "left_anti")
     more = saved(_confirmed(pairs, sets, similarity), "open-links")
     every = links.unionAll(more)
     reached = connected_components(every.select(F.col("a").alias("u"), F.col("b").alias("v")))
