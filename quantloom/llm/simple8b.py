@@ -21,31 +21,34 @@ for _s, (_c, _) in LAYOUT.items():
 
 def encode(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words, first word of each document (one more at the end), escape list."""
-    ids = np.asarray(ids, dtype=U64)
+    ids = np.asarray(ids)
     counts = np.asarray(counts, dtype=np.int64)
     ends = np.cumsum(counts)
     n = len(ids)
     if n == 0:
         return np.zeros(0, dtype=U64), np.zeros(len(counts) + 1, dtype=np.int64), np.zeros(0, dtype=U64)
-    end_of = np.repeat(ends, counts)
+    top = int(ids.max())
+    room = np.repeat(ends, counts) - np.arange(n)  # ids left in the document
     selector = np.full(n, ESCAPE, dtype=np.int8)
     step = np.ones(n, dtype=np.int64)
-    broken = np.zeros(n + 1, dtype=np.int64)
-    for s in range(15, 1, -1):
+    broken = np.zeros(n + 1, dtype=np.int32)
+    # selectors that hold every id have no more to check than the narrowest of them
+    enough = max((s for s, (_, bits) in LAYOUT.items() if top >> bits), default=1) + 1
+    for s in range(min(15, enough), 1, -1):
         count, bits = LAYOUT[s]
-        large = (ids >> U64(bits)) != 0
+        if top >> bits == 0:
+            selector[:] = s
+            step = np.minimum(room, count)
+            continue
+        large = ids >= (1 << bits)
         start = np.flatnonzero(~large)
         if not len(start):
             break
-        if len(start) < n or s < 15:
-            np.cumsum(large, out=broken[1:])
-            to = np.minimum(start + count, end_of[start])
-            fits = broken[to] == broken[start]
-            start, to = start[fits], to[fits]
-        else:
-            to = np.minimum(start + count, end_of[start])
-        selector[start] = s
-        step[start] = to - start
+        np.cumsum(large, out=broken[1:])
+        size = np.minimum(room[start], count)
+        fits = broken[start + size] == broken[start]
+        selector[start[fits]] = s
+        step[start[fits]] = size[fits]
     jump, places, i = step.tolist(), [], 0
     while i < n:
         places.append(i)
@@ -53,7 +56,7 @@ def encode(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     at = np.array(places, dtype=np.int64)
     chosen = selector[at]
     out = np.zeros(len(at), dtype=U64)
-    padded = np.concatenate([ids, np.zeros(64, dtype=U64)])
+    padded = np.concatenate([ids.astype(U64), np.zeros(64, dtype=U64)])
     for s, (count, bits) in LAYOUT.items():
         mine = np.flatnonzero(chosen == s)
         if len(mine):
@@ -65,7 +68,7 @@ def encode(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     escaped = np.flatnonzero(chosen == ESCAPE)
     out[escaped] = np.arange(len(escaped), dtype=U64)
     first_word = np.searchsorted(at, np.r_[0, ends])
-    return out, first_word, ids[at[escaped]]
+    return out, first_word, ids[at[escaped]].astype(U64)
 
 
 def decode(words: np.ndarray, first_word: np.ndarray, counts: np.ndarray, escapes: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ Simple-8b word of each, the words, the escapes, and ``first``, the ids that come
 before it in its shard.  Shards are ranges of doc_id.
 
 Null texts are empty and get the end id alone.  Null doc_ids sort first; repeated
-doc_ids are ordered by their token count and checksum.  An empty table writes no block.
+doc_ids are ordered by their token count and words.  An empty table writes no block.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +26,8 @@ from quantloom.llm.textkernel import SPACE, Slice, lowered, slices, words
 END_ID = 1
 BLOCK_IDS = 1 << 16
 CACHE_WORDS = 700_000
+#: Texts encoded together; the more, the fewer lookups of words that repeat.
+ENCODE_BYTES = 6 << 20
 
 
 def _pieces(part: Slice) -> tuple[pa.Array, np.ndarray]:
@@ -100,9 +101,10 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.starts = np.zeros(1, dtype=np.int64)
-        self.flat = np.zeros(0, dtype=np.uint32)
+        # code 0 is the end of a text
+        self.code: dict[str | None, int] = {None: 0}
+        self.starts = np.array([0, 1], dtype=np.int64)
+        self.flat = np.array([END_ID], dtype=np.uint32)
 
     def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.code)
@@ -118,7 +120,10 @@ class WordCache:
     def codes(self, pieces: list[str]) -> np.ndarray:
         if len(self.code) + len(pieces) > CACHE_WORDS:
             self.clear()
-        fresh = [p for p in pieces if p not in self.code]
+        found = list(map(self.code.get, pieces))
+        fresh = [p for p, c in zip(pieces, found, strict=True) if c is None]
+        if not fresh:
+            return np.array(found, dtype=np.int64)
         # plain words go in together: each closes with its one end-of-word token
         plain = [p for p in fresh if p.isalpha() and (p.isascii() or p < "\u0100" and max(p) < "\u0100")]
         for i in range(0, len(plain), self.TOGETHER):
@@ -141,15 +146,13 @@ class WordCache:
             code = self.codes(pieces.dictionary.to_pylist())[pieces.indices.to_numpy(zero_copy_only=False)]
         else:
             code = np.zeros(0, dtype=np.int64)
+        piece_end = np.cumsum(np.bincount(doc, minlength=len(part)))
+        code = np.insert(code, piece_end, 0)
         starts = self.starts[code]
         size = self.starts[code + 1] - starts
         before = np.r_[0, np.cumsum(size)]
-        piece_end = np.cumsum(np.bincount(doc, minlength=len(part)))
-        own = np.diff(before[np.r_[0, piece_end]]) + 1
-        out = np.full(int(own.sum()), END_ID, dtype=np.uint32)
-        if len(size):
-            moved = np.arange(before[-1])
-            out[moved + np.repeat(doc, size)] = self.flat[moved + np.repeat(starts - before[:-1], size)]
+        own = np.diff(before[np.r_[0, piece_end + np.arange(1, len(part) + 1)]])
+        out = self.flat[np.arange(before[-1]) + np.repeat(starts - before[:-1], size)]
         return out, own
 
 
@@ -162,10 +165,10 @@ def _cache(path: str) -> WordCache:
     return _CACHES[path]
 
 
-ENCODED = "doc_id long, n long, crc long, words binary, escapes binary"
+ENCODED = "shard int, doc_id long, n long, words binary, escapes binary"
 
 
-def _encode(path: str):
+def _encode(path: str, bounds: np.ndarray):
     def run(batches):
         import os
 
@@ -173,23 +176,22 @@ def _encode(path: str):
         cache = _cache(path)
         for batch in batches:
             ids = batch.column(0)
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), ENCODE_BYTES):
                 tokens, counts = cache.encode(part)
                 words, first, escapes = simple8b.encode(tokens, counts)
                 which = np.r_[0, np.cumsum(np.bincount(np.searchsorted(first, np.flatnonzero((words >> np.uint64(60)) == 0), side="right") - 1, minlength=len(counts)))] if len(escapes) else np.zeros(len(counts) + 1, dtype=np.int64)
-                ends = np.cumsum(counts)
-                raw = tokens.astype("<u4").tobytes()
                 packed = []
                 for i in range(len(counts)):
                     mine = words[first[i] : first[i + 1]]
                     if len(escapes):  # escape places count from the document's own first
                         mine = np.where((mine >> np.uint64(60)) == 0, mine - np.uint64(which[i]), mine)
                     packed.append(mine.astype("<u8").tobytes())
+                own = ids.slice(part.first, len(part))
+                known = own.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(part.first, len(part)), pa.array(counts, pa.int64()),
-                    pa.array([zlib.crc32(raw[4 * (e - c) : 4 * e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)], pa.int64()),
+                    pa.array(np.searchsorted(bounds, known), pa.int32()), own, pa.array(counts, pa.int64()),
                     pa.array(packed, pa.binary()), pa.array([escapes[which[i] : which[i + 1]].astype("<u8").tobytes() for i in range(len(counts))], pa.binary()),
-                ], names=["doc_id", "n", "crc", "words", "escapes"])
+                ], names=["shard", "doc_id", "n", "words", "escapes"])
 
     return run
 
@@ -197,9 +199,12 @@ def _encode(path: str):
 BLOCKS = "shard int, block long, first long, n_ids long, doc_ids array<long>, counts array<long>, word_offsets array<long>, escape_offsets array<long>, words binary, escapes binary"
 
 
+_BLOCK_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("word_offsets", pa.list_(pa.int64())), ("escape_offsets", pa.list_(pa.int64())), ("words", pa.binary()), ("escapes", pa.binary())])
+
+
 def _block(batches):
-    """Group the sorted documents of a shard into blocks."""
-    shard, block, before = TaskContext.get().partitionId(), 0, 0
+    """Group the sorted documents of each shard into blocks."""
+    shard, block, before = -1, 0, 0
     held: list[tuple] = []
     size = 0
 
@@ -210,12 +215,16 @@ def _block(batches):
         row = pa.RecordBatch.from_pylist([{
             "shard": shard, "block": block, "first": before, "n_ids": size, "doc_ids": list(ids), "counts": list(counts),
             "word_offsets": offsets(words), "escape_offsets": offsets(escapes), "words": b"".join(words), "escapes": b"".join(escapes),
-        }], schema=pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("word_offsets", pa.list_(pa.int64())), ("escape_offsets", pa.list_(pa.int64())), ("words", pa.binary()), ("escapes", pa.binary())]))
+        }], schema=_BLOCK_SCHEMA)
         block, before, held, size = block + 1, before + size, [], 0
         return row
 
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4)), strict=True):
+        for own, *row in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+            if own != shard:
+                if held:
+                    yield close()
+                shard, block, before = own, 0, 0
             held.append(row)
             size += row[1]
             if size >= BLOCK_IDS:
@@ -224,11 +233,22 @@ def _block(batches):
         yield close()
 
 
+def shard_bounds(docs: DataFrame, shards: int) -> np.ndarray:
+    """Ascending doc_ids that split the documents into ranges of about equal count.
+
+    From a quantile sketch over the id column alone, so no text is read or encoded
+    twice; any bounds give right results, the sketch only balances the shards.
+    """
+    steps = F.array(*[F.lit(i / shards) for i in range(1, shards)]) if shards > 1 else None
+    found = None if steps is None else docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), steps, F.lit(100 * shards))).first()[0]
+    return np.unique(np.array(found or [], dtype=np.int64))
+
+
 def write_blocks(docs: DataFrame, tokenizer: str, shards: int | None = None) -> DataFrame:
     """Encode and write all documents; the written table of blocks."""
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = id_text(docs).mapInArrow(_encode(tokenizer), ENCODED)
-    ordered = encoded.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "n", "crc")
+    encoded = id_text(docs).mapInArrow(_encode(tokenizer, shard_bounds(docs, shards)), ENCODED)
+    ordered = encoded.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "n", "words")
     return saved(ordered.mapInArrow(_block, BLOCKS), "token-blocks")
 
 
