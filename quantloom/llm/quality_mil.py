@@ -125,7 +125,7 @@ def fit(sample: list[tuple[str, int]], width: int = 12, rounds: int = 400, rate:
     if len({label for _, label in sample}) < 2:
         return None
     xs, bags, at = [], [], 0
-    for part in slices(pa.array([t for t, _ in sample], pa.string())):
+    for part in slices(pa.array([t for t, _ in sample], pa.string()), 1 << 18):
         x, bag = encode(part)
         xs.append(x)
         bags.append(bag + at)

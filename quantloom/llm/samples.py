@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import held_out, id_text
 
-#: Bounds of the sample: rows of each class, and the longest text in it.
-#: At most 2 * ROWS_PER_CLASS * LONGEST characters reach the driver.
-ROWS_PER_CLASS = 3000
-LONGEST = 20_000
+#: Bounds of the sample: rows of label 0 and of label 1, and the longest text in it.
+#: At most sum(ROWS) * LONGEST characters reach the driver.
+ROWS = (1200, 1200)
+LONGEST = 6_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = ROWS_PER_CLASS, longest: int = LONGEST) -> list[tuple[str, int]]:
-    """(text, label) of up to ``rows`` documents of each class, never of held-out ids.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: tuple[int, int] = ROWS, longest: int = LONGEST) -> list[tuple[str, int]]:
+    """(text, label) of up to ``rows`` documents of each label, never of held-out ids.
 
     Ids are drawn from the label table by a hash order, so no text is sorted and
     reruns draw the same rows.  Null labels, ids and texts are left out.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
-    drawn = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for k in (0, 1)]
+    drawn = [known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[k]) for k in (0, 1)]
     ids = drawn[0].unionByName(drawn[1]).dropDuplicates(["doc_id"])
     texts = id_text(docs).filter(F.length("text") <= longest)
-    # at most 2 * rows ids, whatever the input: a proven bound for the broadcast
+    # at most sum(rows) ids, whatever the input: a proven bound for the broadcast
     found = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label").collect()
     return [(r["text"], r["label"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["text"]))]

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 1)

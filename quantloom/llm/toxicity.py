@@ -27,6 +27,8 @@ from quantloom.llm.samples import labelled_sample
 from quantloom.llm.textkernel import NOT_WORD, U64, Hasher, Slice, Words, lowered, mix, slices, stream, words
 
 THRESHOLD = 0.3
+#: Rows of label 0 and 1 in the fitting sample: clean text is what sets apart chance from cause.
+SAMPLE = (2400, 900)
 PREFIXES = (4, 5, 6)
 SUFFIX = 4
 _KIND = stream(8, 21)
@@ -135,7 +137,7 @@ def fit(sample: list[tuple[str, int]], rounds: int = 60, rate: float = 0.3, deca
         return empty
     feats, line, doc, context = [], [], [], []
     seen_docs = seen_lines = 0
-    for part in slices(pa.array([t for t, _ in sample], pa.string())):
+    for part in slices(pa.array([t for t, _ in sample], pa.string()), 1 << 18):
         found, f = token_features(part)
         if len(f):
             c = chains(part, found)
@@ -149,18 +151,25 @@ def fit(sample: list[tuple[str, int]], rounds: int = 60, rate: float = 0.3, deca
         seen_docs += len(part)
     if not feats:
         return empty
-    feats, line, doc, context = map(np.concatenate, (feats, line, doc, context))
+    feats = np.concatenate(feats)
+    line, doc = np.concatenate(line).astype(np.int32), np.concatenate(doc).astype(np.int32)
+    context = np.concatenate(context)
     bad = np.array([label for _, label in sample], dtype=bool)[doc]
     once = np.unique(context * U64(2) + bad, return_index=True)[1]
     total = np.array([(~bad[once]).sum(), bad[once].sum()], dtype=float)
+    share = total[1] / total.sum()
     lexicon = []
     for j in range(feats.shape[1] - 1):  # words and prefixes
-        f, b, d = feats[once, j], bad[once], doc[once]
-        names, code = np.unique(f, return_inverse=True)
-        in_bad, in_good = np.bincount(code, b), np.bincount(code, ~b)
-        docs_bad = np.bincount(np.unique(code[b].astype(np.int64) * (seen_docs + 1) + d[b]) // (seen_docs + 1), minlength=len(names))
-        odds = (in_bad / total[1]) / ((in_good + 0.5) / total[0])
-        lexicon.append(names[(in_bad >= 5) & (docs_bad >= 4) & (odds >= 8) & (in_good <= 0.02 * in_bad) & (names != 0)])
+        names, code = np.unique(feats[once, j], return_inverse=True)
+        code = code.astype(np.int32)
+        in_bad, in_good = np.bincount(code, bad[once]), np.bincount(code, ~bad[once])
+        pairs = np.unique(code[bad[once]].astype(np.int64) * (seen_docs + 1) + doc[once][bad[once]])
+        docs_bad = np.bincount(pairs // (seen_docs + 1), minlength=len(names))
+        # log-likelihood ratio against chance, with room for the number of names tried
+        n = in_bad + in_good
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(in_bad > 0, in_bad * np.log(in_bad / (n * share)), 0.0) + np.where(in_good > 0, in_good * np.log(in_good / (n * (1 - share))), 0.0)
+        lexicon.append(names[(docs_bad >= 3) & (gain >= np.log(len(names)) + 1) & (in_good <= 0.02 * in_bad) & (names != 0)])
     toxic = np.zeros(len(feats), dtype=bool)
     for j, names in enumerate(lexicon):
         toxic |= np.isin(feats[:, j], names)
@@ -171,7 +180,7 @@ def fit(sample: list[tuple[str, int]], rounds: int = 60, rate: float = 0.3, deca
     known = known[known != 0]
     # chains with a toxic token, all others that share a feature with one, and some more in hash order
     shares = np.zeros(len(feats), dtype=bool)
-    for j in range(feats.shape[1]):
+    for j in range(feats.shape[1] - 1):
         shares |= np.isin(feats[:, j], known)
     lines = np.unique(line)
     marked, close = np.isin(lines, line[toxic]), np.isin(lines, line[shares])
@@ -264,7 +273,7 @@ def tag_toxicity(docs: DataFrame, field: Field) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Fit on the labelled sample and score all documents."""
-    field = fit(labelled_sample(docs, labels, "toxic"))
+    field = fit(labelled_sample(docs, labels, "toxic", SAMPLE))
     return tag_toxicity(docs, field).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), "spans",
