@@ -145,7 +145,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
     # full sets of candidates only, and how many shingles each shares with no other
     own = texts.join(maybe_broadcast(wanted, 16), "doc_id", "left_semi")
-    sets = saved(own.mapInArrow(_sets, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    sets = saved(own.mapInArrow(_sets, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "shingle-sets")
     spread = saved(sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")), "shingle-spread")
     alone = saved(spread.filter("df = 1").groupBy("doc_id").agg(F.count("*").alias("u")), "own-shingles")
     buckets = buckets.join(alone, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("u", F.lit(0)).alias("u"))

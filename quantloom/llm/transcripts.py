@@ -42,7 +42,7 @@ _MARKER = re.compile(r"\s*(?:>\s*|#{1,4}\s*|\*\*)?(?:\[([A-Za-z]+)\]|<\|([A-Za-z
 
 #: Log score of a marker seen with its own role, and with another.
 MARK_OWN, MARK_OTHER = np.log(0.97), np.log(0.015)
-#: Transitions inside a piece, and across the end of a piece or a blank line.
+#: Transitions inside a piece, and across the end of a piece, a blank line or a marker.
 INSIDE = np.log(np.array([[0.98, 0.01, 0.01], [0.002, 0.988, 0.01], [0.002, 0.01, 0.988]]))
 ACROSS = np.log(np.array([[0.20, 0.70, 0.10], [0.02, 0.18, 0.80], [0.02, 0.78, 0.20]]))
 START = np.log(np.array([0.2, 0.7, 0.1]))
@@ -73,7 +73,7 @@ def observe(text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         lines.append(rest)
         marks.append(role)
         feats.append(feature(rest))
-        borders.append(border)
+        borders.append(border or role >= 0)
         border = not raw.strip()
     return lines, np.array(marks), np.array(feats), np.array(borders)
 
