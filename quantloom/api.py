@@ -30,11 +30,12 @@ __all__ = ["Compiler", "Conversion", "Catalog", "Document", "annotate_all", "obs
 def _dialects(table: dict, suffix: str) -> Dialects:
     own = table["input"]
     delimiters = own.get("delimiter", {}).get("candidates") if isinstance(own.get("delimiter"), dict) else own.get("delimiter")
-    numbers = own.get("numbers", {}).get("candidates", []) if isinstance(own.get("numbers"), dict) else []
+    numbers = own.get("numbers", {})
+    notations = tuple(Notation(d, tuple(t for t in numbers.get("thousands_candidates", ()) if t != d)) for d in numbers.get("decimal_candidates", (".",)))
     encodings = own.get("encoding", {}).get("candidates") if isinstance(own.get("encoding"), dict) else own.get("encoding")
     return Dialects(
         tuple(delimiters) if delimiters else (delimited.DELIMITER_OF.get(suffix, "\t"),),
-        tuple(Notation(n.get("decimal_mark", "."), tuple(n.get("thousands_marks", ()))) for n in numbers) or (Notation(),),
+        notations,
         tuple(encodings) if isinstance(encodings, (list, tuple)) else ((encodings,) if encodings else ("utf8",)),
     )
 

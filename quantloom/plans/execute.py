@@ -52,7 +52,7 @@ def _entries(plan: Plan) -> tuple[sequences.Modification, ...]:
 
 
 def _normaliser(plan: Plan, column: ColumnRule):
-    syntax = plan.rule.sequence_syntax.get("vendor_sequence", {"parser": "plain_sequence"})
+    syntax = plan.rule.sequence_syntax.get(column.syntax, {"parser": "plain_sequence"})
     known = sequences.Tokens(_entries(plan), column.case_sensitive, column.unknown_policy)
     kind = syntax["parser"]
     if kind == "token_regex":
@@ -60,7 +60,7 @@ def _normaliser(plan: Plan, column: ColumnRule):
     if kind == "site_list":
         return sequences.from_site_lists(known, syntax.get("delimiter", ";"), syntax.get("site_base", 1))
     if kind == "embedded_site_list":
-        return sequences.from_embedded_sites(known, syntax.get("delimiter", ","), syntax["entry_pattern"], syntax.get("site_base", 1), syntax.get("unlocalized", False))
+        return sequences.from_embedded_sites(known, syntax.get("delimiter", ","), syntax["entry_pattern"], syntax.get("site_base", 1), "(?P<count>" in syntax["entry_pattern"])
     return lambda s: (sequences.residues_of(s, s.strip(text.END_MARKS)), [])
 
 
@@ -69,7 +69,7 @@ def _computed(frame: DataFrame, plan: Plan) -> tuple[DataFrame, dict]:
     report: dict = {}
     for c in plan.computed:
         own = [q(i) for i in c.inputs]
-        syntax = plan.rule.sequence_syntax.get("vendor_sequence", {"parser": "plain_sequence"})
+        syntax = plan.rule.sequence_syntax.get(c.syntax, {"parser": "plain_sequence"})
         if c.how == "proforma_sequence":
             frame, unknown = sequences.with_sequences(frame.drop(c.name), list(c.inputs), c.name, _normaliser(plan, c))
             if unknown:

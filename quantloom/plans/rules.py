@@ -44,6 +44,7 @@ class ColumnRule(Strict):
     prefix: str | None = None
     case_sensitive: bool = True
     unknown_policy: Literal["preserve", "drop", "error"] = "preserve"
+    syntax: str = "vendor_sequence"
     note: str | None = None
 
     @model_validator(mode="after")
@@ -199,7 +200,7 @@ def effective(table: dict, level: str, parameters: dict[str, Any] | None = None)
         if parameters[key] != wanted:
             raise RuleNotApplicable(f"level {level!r} is for {key} = {wanted!r}, not {parameters[key]!r}")
     for change in both.get("search_parameter_overrides", []):
-        when = change.get("when", {})
+        when = change.get("when_search_parameters", {})
         if parameters and all(parameters.get(k) == v for k, v in when.items()):
             both = merge(both, {"measurements": {"primary_layer": change["primary_layer"]}})
     defaults = both.get("defaults", {})
