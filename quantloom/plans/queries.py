@@ -15,7 +15,7 @@ from quantloom.functions import sequences, text
 from quantloom.functions.values import (
     Notation, as_number, decode_factor, drop_tokens, encode_factor, normalize_missing, remap_strict, sentinel, strict_number, to_boolean, to_double, to_long,
 )
-from quantloom.operators import align, annotate, axis, cells, joins, layers, layout, prepare, stats
+from quantloom.operators import align, annotate, axis, cells, joins, layers, layout, prepare, reshape, stats
 from quantloom.operators.axis import Policy, q
 from quantloom.operators.cells import CellPolicy
 from quantloom.operators.layers import FactorLayer, NumericLayer
@@ -432,6 +432,50 @@ def prepare_prefix(spark, d):
     return prepare.prefixed(t(spark, d, "nation").filter("n_regionkey = 1").select("n_name", "n_regionkey"), "nation")
 
 
+# ---------------------------------------------------------------- reshaping
+@query("SELECT l_partkey AS var_pos, l_linenumber::BIGINT AS obs_pos, round(sum(l_quantity), 6) AS value FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL HAVING round(sum(l_quantity), 6) <> 10")
+def reshape_sparse(spark, d):
+    """A dense table to its cells that differ from a fill."""
+    sums = lines(spark, d).filter("l_linenumber <= 3").groupBy(F.col("l_partkey").alias("var_pos")).pivot("l_linenumber", [1, 2, 3]).agg(F.round(F.sum("l_quantity"), 6))
+    return reshape.to_sparse(sums, "var_pos", {"1": 1, "2": 2, "3": 3}, fill=10.0)
+
+
+@query("SELECT p_partkey AS var_pos, coalesce(round(sum(l_quantity) FILTER (l_linenumber = 1), 6), -1) AS \"1\", coalesce(round(sum(l_quantity) FILTER (l_linenumber = 2), 6), -1) AS \"2\" FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
+def reshape_dense(spark, d):
+    cells_ = lines(spark, d).filter("l_linenumber <= 2").groupBy(F.col("l_partkey").alias("var_pos"), F.col("l_linenumber").alias("obs_pos")).agg(F.round(F.sum("l_quantity"), 6).alias("value"))
+    return reshape.to_dense(cells_, t(spark, d, "part").select(F.col("p_partkey").alias("var_pos")), "var_pos", [1, 2], fill=-1.0)
+
+
+@query("SELECT 'part' AS source, l_partkey AS \"row\", 'supplier' AS target, l_suppkey AS \"column\", count(*)::DOUBLE AS value FROM lineitem GROUP BY ALL")
+def reshape_relations(spark, d):
+    """Edges to one global grid and back by offsets."""
+    edges = lines(spark, d).groupBy(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("column")).agg(F.count("*").cast("double").alias("value")).select(F.lit("part").alias("source"), "row", F.lit("supplier").alias("target"), "column", "value")
+    sizes = spark.createDataFrame([("part", 0, 10_000_000), ("supplier", 1, 10_000_000)], "level string, order int, size long")
+    offsets = reshape.level_offsets(sizes)
+    return reshape.to_levels(reshape.to_global(edges, offsets), offsets)
+
+
+@query("SELECT event_id, to_json([user_id::VARCHAR, event_type])::VARCHAR AS label, (props->>'$.k')::BIGINT AS k FROM events")
+def reshape_labels(spark, d):
+    """Several keys as one stored label, and typed values of embedded JSON."""
+    return t(spark, d, "events").select("event_id", reshape.json_label(F.col("user_id"), F.col("event_type")).alias("label"), reshape.embedded_json(F.col("props"), "k long")["k"].alias("k"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS n_keys, count(*) AS n_rows, max(n) <= 1 AS placeable FROM (SELECT *, (SELECT count(DISTINCT e2.value) FROM events e2 WHERE e2.user_id = e.user_id AND e2.event_type = e.event_type) AS n FROM events e WHERE event_id < 300) GROUP BY event_type")
+def reshape_placeable(spark, d):
+    own = t(spark, d, "events")
+    some = own.join(own.filter("event_id < 300").select("user_id", "event_type").distinct(), ["user_id", "event_type"], "left_semi")
+    each = reshape.placeable_factors(some, "user_id", "event_type", "value").select("event_type", "n_keys", "placeable")
+    return each.join(own.filter("event_id < 300").groupBy("event_type").agg(F.count("*").alias("n_rows")), "event_type")
+
+
+@query("SELECT conv_id, turn, role, length(text) AS n, lang FROM conversations LEFT JOIN (SELECT doc_id AS conv_id, lang FROM documents) USING (conv_id)")
+def reshape_samples(spark, d):
+    """Rows joined with a bounded sample table."""
+    samples = t(spark, d, "documents").select(F.col("doc_id").alias("conv_id"), "lang")
+    return reshape.with_samples(t(spark, d, "conversations"), samples, "conv_id").select("conv_id", "turn", "role", F.length("text").cast("long").alias("n"), "lang")
+
+
 # --------------------------------------------------- alignment and annotation
 def _obs(spark, d):
     from quantloom.result import Level
