@@ -179,9 +179,9 @@ class Reader:
     flatten: Callable[[str], Settings]
     fields: dict[str, Any]  # a text is a setting path, a function gets all settings, other values stand
 
-    def __call__(self, text: str) -> Parameters:
+    def __call__(self, content) -> Parameters:
         try:
-            own = self.flatten(text)
+            own = self.flatten(content)
             values = {}
             for name, source in self.fields.items():
                 values[name] = source(own) if callable(source) else source
@@ -440,16 +440,181 @@ I2MASSCHROQ = Reader(from_pairs("\t"), {
     "allowed_miscleavages": at("scoring, maximum missed cleavage sites", "sage_database_enzyme_missed_cleavages", to=number), "max_precursor_charge": at("spectrum, maximum parent charge", to=number),
 })
 
+# ------------------------------------------------------------- pairs of files
+def from_toml(text: str) -> Settings:
+    import tomllib
+
+    return _walk(tomllib.loads(text), "", Settings())
+
+
+def from_pair(*kinds: tuple[Callable[[str], bool], Callable[[str], Settings]]) -> Callable[[str], Settings]:
+    """Several files joined by a form feed, in any order, each read by the kind that knows it."""
+
+    def read(text: str) -> Settings:
+        out, seen = Settings(), set()
+        for part in text.split("\f"):
+            fits = [i for i, (knows, _) in enumerate(kinds) if knows(part) and i not in seen]
+            if not fits:
+                raise ParamsError("a file of the pair is of no known kind")
+            seen.add(fits[0])
+            out |= kinds[fits[0]][1](part)
+        if len(seen) < len(kinds):
+            raise ParamsError(f"{len(kinds)} files are needed, {len(seen)} are there")
+        return out
+
+    return read
+
+
+_META_ENDS = {"(Prot N-Term)": "Protein N-term", "(Pep N-Term)": "N-term", "(Prot C-Term)": "Protein C-term", "(Pep C-Term)": "C-term"}
+
+
+def _meta_mods(path: str, kind: str):
+    """Blocks ``Group<tab>Name on Target``, two tabs between blocks."""
+
+    def read(s: Settings):
+        tokens = []
+        for block in s.one(path, default="").split("\t\t"):
+            name, found, target = block.partition("\t")[2].partition(" on ")
+            end = next((t for mark, t in _META_ENDS.items() if mark in target), target.strip())
+            if name:
+                tokens.append(f"{end}[{name.strip()}]" if found else name.strip())
+        return [modification(t, kind) for t in tokens]
+
+    return read
+
+
+def _meta_width(path: str):
+    """``±10.0000 PPM`` and ``±0.0200 Absolute``."""
+
+    def read(s: Settings):
+        m = re.search(r"([0-9.]+)\s*([A-Za-z]+)", s.need(path))
+        return width(m[1], "Da" if m[2].lower() == "absolute" else m[2])
+
+    return read
+
+
+_COMMON = "CommonParameters"
+METAMORPHEUS = Reader(from_pair((lambda t: "[CommonParameters]" in t, from_toml), (lambda t: "version" in t.split("\n")[0].lower(), lambda t: Settings({"version": [t.split("\n")[0].split()[2]]}))), {
+    "software_name": "MetaMorpheus", "software_version": must("version"), "search_engine": "MetaMorpheus", "quantification_method": "FlashLFQ",
+    "enzyme": must(f"{_COMMON}/DigestionParams/Protease", to=lambda x: {"trypsin": "Trypsin", "trypsin/p": "Trypsin/P"}.get(x.lower(), x)), "allowed_miscleavages": must(f"{_COMMON}/DigestionParams/MaxMissedCleavages"),
+    "min_peptide_length": must(f"{_COMMON}/DigestionParams/MinPeptideLength"), "max_peptide_length": must(f"{_COMMON}/DigestionParams/MaxPeptideLength"), "max_mods": must(f"{_COMMON}/DigestionParams/MaxModsForPeptide"),
+    "fixed_mods": _meta_mods(f"{_COMMON}/ListOfModsFixed", "fixed"), "variable_mods": _meta_mods(f"{_COMMON}/ListOfModsVariable", "variable"),
+    "precursor_mass_tolerance": _meta_width(f"{_COMMON}/PrecursorMassTolerance"), "fragment_mass_tolerance": _meta_width(f"{_COMMON}/ProductMassTolerance"),
+    "min_precursor_charge": at(f"{_COMMON}/PrecursorDeconvolutionParameters/MinAssumedChargeState"), "max_precursor_charge": at(f"{_COMMON}/PrecursorDeconvolutionParameters/MaxAssumedChargeState"),
+    "enable_match_between_runs": at("SearchParameters/MatchBetweenRuns"), "protein_inference": at("SearchParameters/DoParsimony", to=lambda x: "Parsimony" if x else None),
+    "abundance_normalization_ions": at("SearchParameters/Normalize"), "ident_fdr_psm": at(f"{_COMMON}/QValueThreshold"),
+})
+
+
+def _engines(s: Settings) -> list[str]:
+    return list(dict.fromkeys(p.split("/")[0].removeprefix("SEARCHENGINE").lower() for p in s if p.startswith("SEARCHENGINE")))
+
+
+QUANTMS = Reader(from_pair((lambda t: t.lstrip().startswith("{"), from_json), (lambda t: "Workflow" in t, from_yaml)), {
+    "software_name": "quantms", "software_version": must("Workflow/bigbio/quantms", "Workflow/nf-core/quantms", to=str), "quantification_software": "quantms", "quantification_software_version": must("Workflow/bigbio/quantms", "Workflow/nf-core/quantms", to=str),
+    "acquisition_method": must("acquisition_method", to=str.upper), "search_engine": lambda s: ",".join(_engines(s)) or None,
+    "search_engine_version": lambda s: ",".join(str(v) for p, vs in s.items() if p.startswith("SEARCHENGINE") and p.split("/")[-1] in ("Comet", "msgf_plus") for v in vs) or None,
+    "enzyme": must("enzyme"), "allowed_miscleavages": must("allowed_missed_cleavages"),
+    "precursor_mass_tolerance": lambda s: width(s.need("precursor_mass_tolerance"), s.need("precursor_mass_tolerance_unit")), "fragment_mass_tolerance": lambda s: width(s.need("fragment_mass_tolerance"), s.need("fragment_mass_tolerance_unit")),
+    "fixed_mods": lambda s: mods(parts(s.one("fixed_mods")), bracketed, "fixed"), "variable_mods": lambda s: mods(parts(s.one("variable_mods")), bracketed, "variable"),
+    "ident_fdr_psm": must("psm_level_fdr_cutoff"), "ident_fdr_protein": must("protein_level_fdr_cutoff"), "min_precursor_charge": must("min_precursor_charge"), "max_precursor_charge": must("max_precursor_charge"),
+    "min_peptide_length": must("min_peptide_length"), "max_peptide_length": must("max_peptide_length"), "max_mods": must("max_mods"), "protein_inference": must("protein_inference_method"), "quantification_method": must("quantification_method"),
+})
+
+# ------------------------------------------------------- run logs and workbooks
+def from_log(text: str) -> Settings:
+    """A run log's configuration tree: first value of each key, bounds from the lines below a bare key."""
+    out, open_key = Settings(), None
+    for line in re.sub(r"(?:\x9b|\x1b\[)[0-?]*[ -/]*[@-~]", "", text).splitlines():
+        if "version" not in out and (m := re.search(r"PROGRESS:\s*version:\s*(\S+)", line)):
+            out["version"] = [m[1]]
+            continue
+        body = re.sub(r"^(?:\d+ days?,\s*)?\d+:\d{2}:\d{2}\.?\d*\s*(?:PROGRESS|INFO|WARNING|ERROR|CRITICAL|DEBUG):", "", line)
+        body = re.sub(r"\s*[\[(]\s*user defined.*$", "", re.sub(r"[│├└─]+", "", body)).strip()
+        key, found, value = (x.strip() for x in body.partition(":"))
+        if open_key and not found and (m := re.fullmatch(r"-?\d+", body)):
+            out[open_key].append(int(m[0]))
+        elif found and value:
+            out.setdefault(key, [value])
+            open_key = None
+        elif found:
+            open_key = key if key not in out else None
+            if open_key:
+                out[open_key] = []
+    if "version" not in out:
+        raise ParamsError("no version banner")
+    return out
+
+
+def _log_width(key: str):
+    """Tolerances in ppm; 0 is calibrated from the data."""
+    return lambda s: None if s.one(key) is None else (width(abs(float(s.one(key))), "ppm") if float(s.one(key)) else Tolerance(mode="automatic", label="Automatic calibration"))
+
+
+def _named_at(key: str, kind: str):
+    """``Oxidation@M;Acetyl@Protein_N-term``."""
+    return lambda s: [modification(f"{t.replace('_', ' ')}[{n}]" if t else n, kind) for n, _, t in (x.partition("@") for x in parts(s.one(key), ";"))]
+
+
+ALPHADIA = Reader(from_log, {
+    "software_name": "AlphaDIA", "software_version": must("version"), "search_engine": "AlphaDIA", "search_engine_version": must("version"), "acquisition_method": "DIA",
+    "ident_fdr_psm": at("fdr", to=lambda x: number(x, float)), "ident_fdr_protein": at("fdr", to=lambda x: number(x, float)), "enable_match_between_runs": at("mbr_step_enabled", to=yes),
+    "precursor_mass_tolerance": _log_width("target_ms1_tolerance"), "fragment_mass_tolerance": _log_width("target_ms2_tolerance"),
+    "enzyme": at("enzyme", to=lambda x: {"trypsin": "Trypsin", "trypsin/p": "Trypsin/P"}.get(str(x).lower(), x)), "allowed_miscleavages": at("missed_cleavages", to=number),
+    "min_peptide_length": lambda s: next(iter(s.get("precursor_len", [])), None), "max_peptide_length": lambda s: next(iter(s.get("precursor_len", [])[1:]), None),
+    "min_precursor_charge": lambda s: next(iter(s.get("precursor_charge", [])), None), "max_precursor_charge": lambda s: next(iter(s.get("precursor_charge", [])[1:]), None),
+    "fixed_mods": _named_at("fixed_modifications", "fixed"), "variable_mods": _named_at("variable_modifications", "variable"), "max_mods": at("max_var_mod_num", to=number),
+    "quantification_method": "DirectLFQ", "predictors_library": "AlphaPeptDeep",
+})
+
+
+def from_workbook(path) -> Settings:
+    """Sheets with the setting in the first column; a setting must be the same in all others."""
+    from quantloom.sources.workbook import sheet_names, sheet_rows
+
+    out = Settings()
+    for sheet in sheet_names(path):
+        for row in sheet_rows(path, sheet):
+            if row and row[0]:
+                out[f"{sheet}/{row[0]}"] = list(dict.fromkeys(v for v in row[1:] if v is not None))
+    return out
+
+
+def _constant(path: str, to: Callable = str):
+    def read(s: Settings):
+        values = s.get(path, [])
+        if len(values) != 1:
+            raise ParamsError(f"setting {path} is not constant: {values}")
+        return to(values[0])
+
+    return read
+
+
+_SEARCH, _STATS = "Search settings and infos", "Dataset statistics and infos"
+PROLINESTUDIO = Reader(from_workbook, {
+    "software_name": "ProlineStudio", "software_version": at(f"{_STATS}/version"), "quantification_software": "ProlineStudio", "quantification_software_version": at(f"{_STATS}/version"), "acquisition_method": "DDA",
+    "search_engine": _constant(f"{_SEARCH}/software_name"), "search_engine_version": _constant(f"{_SEARCH}/software_version"), "ident_fdr_psm": _constant("Import and filters/psm_filter_expected_fdr", lambda x: float(x) / 100),
+    "enable_match_between_runs": lambda s: any(p.startswith("Quant config/") and "cross assignment" in p.lower() for p in s),
+    "precursor_mass_tolerance": _constant(f"{_SEARCH}/peptide_mass_error_tolerance", written), "fragment_mass_tolerance": _constant(f"{_SEARCH}/fragment_mass_error_tolerance", written),
+    "enzyme": _constant(f"{_SEARCH}/enzymes"), "allowed_miscleavages": _constant(f"{_SEARCH}/max_missed_cleavages", number),
+    "min_peptide_length": at("Import and filters/psm_filter_2", to=lambda x: int(m[1]) if (m := re.search(r"threshold_value=(\d+)", str(x))) else None),
+    "fixed_mods": lambda s: mods(parts(_constant(f"{_SEARCH}/fixed_ptms")(s), ";"), bracketed, "fixed"), "variable_mods": lambda s: mods(parts(_constant(f"{_SEARCH}/variable_ptms")(s), ";"), bracketed, "variable"),
+    "min_precursor_charge": _constant(f"{_SEARCH}/peptide_charge_states", lambda x: min(map(int, re.findall(r"(\d+)\+", x)))), "max_precursor_charge": _constant(f"{_SEARCH}/peptide_charge_states", lambda x: max(map(int, re.findall(r"(\d+)\+", x)))),
+})
+
 READERS: dict[str, Reader] = {
-    "alphapept": ALPHAPEPT, "diann": DIANN, "fragpipe": FRAGPIPE, "i2masschroq": I2MASSCHROQ, "maxquant": MAXQUANT, "msangel": MSANGEL,
-    "peaks": PEAKS, "sage": SAGE, "spectronaut": SPECTRONAUT, "wombat": WOMBAT,
+    "alphadia": ALPHADIA, "alphapept": ALPHAPEPT, "diann": DIANN, "fragpipe": FRAGPIPE, "i2masschroq": I2MASSCHROQ, "maxquant": MAXQUANT, "metamorpheus": METAMORPHEUS, "msangel": MSANGEL,
+    "peaks": PEAKS, "prolinestudio": PROLINESTUDIO, "quantms": QUANTMS, "sage": SAGE, "spectronaut": SPECTRONAUT, "wombat": WOMBAT,
 }
 
 
-def read_parameters(path: str | Path, software: str) -> Parameters:
-    """The record of one parameter file."""
+def read_parameters(path: str | Path | list, software: str) -> Parameters:
+    """The record of one parameter file, or of a pair of files in any order."""
     key = re.sub(r"[^a-z0-9]", "", software.lower())
     key = {"wombatp": "wombat"}.get(key, key)
     if key not in READERS:
         raise ParamsError(f"no parameter reader for {software!r}; there are {sorted(READERS)}")
-    return READERS[key](Path(path).read_text(encoding="utf-8", errors="replace").removeprefix("﻿"))
+    files = path if isinstance(path, (list, tuple)) else [path]
+    if READERS[key].flatten is from_workbook:
+        return READERS[key](files[0])
+    return READERS[key]("\f".join(Path(p).read_text(encoding="utf-8", errors="replace").removeprefix("\ufeff") for p in files))

@@ -143,9 +143,9 @@ def execute(plan: Plan, source: DataFrame, prune: bool = False) -> Level:
     disagree = [c for c in var_raw.columns if c.endswith("?")]
     flags = var_raw.agg(*[F.count_if(q(c)).alias(c[:-1]) for c in disagree]).first().asDict() if disagree else {}
 
-    typed = _coerced(var_raw.drop(*disagree), plan.var)
+    # raw keys stay beside the typed ones: facts find their row by them
     raw_names = {k: f"_raw_{i}" for i, k in enumerate(keys)}
-    typed = typed.join(var_raw.select(*[q(k).alias(n) for k, n in raw_names.items()], q(ORDER).alias("_o2")), typed[ORDER] == F.col("_o2")).drop("_o2") if not label else typed.select("*", *[q(k).alias(n) for k, n in raw_names.items()])
+    typed = _coerced(var_raw.drop(*disagree).select("*", *[q(k).alias(n) for k, n in raw_names.items()]), plan.var)
     final, report = _computed(typed, plan)
     final = axis.complete_keys(final, list(rule.axis.var_keys))
     final = final.persist()

@@ -60,6 +60,55 @@ def test_command_labels_and_pairs(tmp_path):
     assert [m.accession for m in f.variable_mods] == ["UNIMOD:35", "UNIMOD:1"] and len(f.fixed_mods) == 1
 
 
+TOML = """[SearchParameters]
+DoParsimony = true
+MatchBetweenRuns = true
+Normalize = false
+[CommonParameters]
+ListOfModsFixed = "Common Fixed\\tCarbamidomethyl on C"
+ListOfModsVariable = "Common Variable\\tOxidation on M\\t\\tCommon Biological\\tAcetylation on X (Prot N-Term)"
+PrecursorMassTolerance = "±5.0000 PPM"
+ProductMassTolerance = "±0.0200 Absolute"
+QValueThreshold = 0.01
+[CommonParameters.DigestionParams]
+Protease = "trypsin"
+MaxMissedCleavages = 2
+MinPeptideLength = 7
+MaxPeptideLength = 30
+MaxModsForPeptide = 2
+"""
+QUANTMS = {"acquisition_method": "dda", "enzyme": "Trypsin", "allowed_missed_cleavages": 1, "precursor_mass_tolerance": 5, "precursor_mass_tolerance_unit": "ppm", "fragment_mass_tolerance": 0.03, "fragment_mass_tolerance_unit": "Da", "fixed_mods": "Carbamidomethyl (C)", "variable_mods": "Oxidation (M),Phospho (ST)", "psm_level_fdr_cutoff": 0.01, "protein_level_fdr_cutoff": 0.01, "min_precursor_charge": 2, "max_precursor_charge": 4, "min_peptide_length": 6, "max_peptide_length": 40, "max_mods": 3, "protein_inference_method": "aggregation", "quantification_method": "feature_intensity"}
+
+
+def test_pairs_in_any_order(tmp_path):
+    (tmp_path / "s.toml").write_text(TOML)
+    (tmp_path / "v.txt").write_text("MetaMorpheus: version 1.0.5\nmore\n")
+    for order in ((0, 1), (1, 0)):
+        files = [tmp_path / "s.toml", tmp_path / "v.txt"]
+        r = read_parameters([files[i] for i in order], "MetaMorpheus")
+        assert (r.software_version, r.enzyme, r.protein_inference, r.fragment_mass_tolerance.unit) == ("1.0.5", "Trypsin", "Parsimony", "Da")
+        assert names(r.variable_mods) == [("M[Oxidation]", "UNIMOD:35"), ("Protein N-term[Acetyl]", "UNIMOD:1")]
+    with pytest.raises(ParamsError):
+        read_parameters(tmp_path / "s.toml", "MetaMorpheus")
+    (tmp_path / "p.json").write_text(json.dumps(QUANTMS))
+    (tmp_path / "v.yml").write_text("Workflow:\n  nf-core/quantms: 1.3\nSEARCHENGINECOMET:\n  Comet: 2023.01\n")
+    q = read_parameters([tmp_path / "v.yml", tmp_path / "p.json"], "quantms")
+    assert (q.acquisition_method, q.search_engine, len(q.variable_mods), q.max_mods) == ("DDA", "comet", 3, 3)
+
+
+def test_log_and_workbook(tmp_path):
+    log = "0:00:00.01 PROGRESS: version: 1.10\n0:00:01.2 INFO: ├──precursor_len: \n0:00:01.2 INFO: │   7\n0:00:01.2 INFO: │   35\n0:00:01.2 INFO: ├──enzyme: trypsin\n0:00:01.2 INFO: ├──missed_cleavages: 1 [user defined, default: 2]\n0:00:01.2 INFO: ├──variable_modifications: Oxidation@M;Acetyl@Protein_N-term\n0:00:01.2 INFO: ├──target_ms1_tolerance: 0\n"
+    r = read(tmp_path, log, "AlphaDIA")
+    assert (r.software_version, r.enzyme, r.allowed_miscleavages, r.min_peptide_length, r.max_peptide_length, r.precursor_mass_tolerance.mode) == ("1.10", "Trypsin", 1, 7, 35, "automatic")
+    assert names(r.variable_mods) == [("M[Oxidation]", "UNIMOD:35"), ("Protein N-term[Acetyl]", "UNIMOD:1")]
+    from quantloom.sources.workbook import write_sheets
+
+    search = [["software_name", "Mascot"], ["software_version", "2.8"], ["enzymes", "Trypsin"], ["max_missed_cleavages", "2"], ["fixed_ptms", "Carbamidomethyl (C)"], ["variable_ptms", "Oxidation (M)"], ["peptide_charge_states", "2+ and 3+"], ["peptide_mass_error_tolerance", "5 ppm"], ["fragment_mass_error_tolerance", "0.02 Da"]]
+    write_sheets(tmp_path / "w.xlsx", {"Search settings and infos": search, "Import and filters": [["psm_filter_expected_fdr", "1.0"], ["psm_filter_2", "[threshold_value=7]"]], "Quant config": [["Cross Assignment", "x"]]})
+    w = read_parameters(tmp_path / "w.xlsx", "ProlineStudio")
+    assert (w.search_engine, w.min_precursor_charge, w.max_precursor_charge, w.min_peptide_length, w.ident_fdr_psm, w.enable_match_between_runs) == ("Mascot", 2, 3, 7, 0.01, True)
+
+
 def test_refusals(tmp_path):
     for text, software in (("{}", "sage"), ("nothing", "diann"), ("<a/>", "maxquant"), ("x", "nosuchtool")):
         with pytest.raises(ParamsError):
