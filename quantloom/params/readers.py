@@ -532,8 +532,8 @@ def from_log(text: str) -> Settings:
         body = re.sub(r"^(?:\d+ days?,\s*)?\d+:\d{2}:\d{2}\.?\d*\s*(?:PROGRESS|INFO|WARNING|ERROR|CRITICAL|DEBUG):", "", line)
         body = re.sub(r"\s*[\[(]\s*user defined.*$", "", re.sub(r"[│├└─]+", "", body)).strip()
         key, found, value = (x.strip() for x in body.partition(":"))
-        if open_key and not found and (m := re.fullmatch(r"-?\d+", body)):
-            out[open_key].append(int(m[0]))
+        if open_key and not found and (m := re.fullmatch(r"(?:-\s+)?(-?\d+)", body)):
+            out[open_key].append(int(m[1]))
         elif found and value:
             out.setdefault(key, [value])
             open_key = None

@@ -118,15 +118,15 @@ def execute(plan: Plan, source: DataFrame, prune: bool = False) -> Level:
         obs_keys, obs_payload = [rule.sample_name], []
         features = flat
     else:
-        flat = rows.select(*[drop_tokens(q(c.source), c.missing_tokens).alias(f"v:{c.name}") for c in plan.var], *[drop_tokens(q(c.source), c.missing_tokens).alias(f"o:{c.name}") for c in plan.obs], *[q(s).alias(f"l:{n}") for n, s in plan.sources.items()], *([q(rule.fragments.label_column).alias("_label")] if rule.fragments and rule.fragments.label_column else []), q(ORDER))
+        flat = rows.select(*[drop_tokens(q(c.source), c.missing_tokens).alias(f"v:{c.name}") for c in plan.var], *[drop_tokens(q(c.source), c.missing_tokens).alias(f"o:{c.name}") for c in plan.obs], *[q(s).alias(f"l:{n}") for n, s in plan.sources.items()], *([q(plan.label_column).alias("_label")] if plan.label_column else []), q(ORDER))
         obs_keys = [c.name for c in plan.obs if c.name in rule.axis.obs_keys]
         obs_payload = [c.name for c in plan.obs if c.name not in obs_keys]
         ids = [f"v:{k}" for k in plain_keys] + [f"o:{k}" for k in obs_keys]
         if rule.fragments:
             packed = {n: f"l:{n}" for n, s in plan.sources.items() if s in rule.fragments.value_columns}
-            checked = {f"l:{n}": rule.fragments.delimiter for n in packed} | ({"_label": rule.fragments.delimiter} if rule.fragments.label_column else {})
+            checked = {f"l:{n}": rule.fragments.delimiter for n in packed} | ({"_label": rule.fragments.delimiter} if plan.label_column else {})
             layout.require_parallel(flat, checked, [f"v:{k}" for k in plain_keys])
-            facts = layout.packed_facts(flat, ids, packed, rule.fragments.delimiter, ORDER, label, "_label" if rule.fragments.label_column else None, True)
+            facts = layout.packed_facts(flat, ids, packed, rule.fragments.delimiter, ORDER, label, "_label" if plan.label_column else None, True)
             facts = facts.select(*[q(f"v:{k}").alias(k) for k in plain_keys], *[q(f"o:{k}").alias(f"o:{k}") for k in obs_keys], q(label), *[q(n) for n in packed], q(ORDER))
         else:
             facts = flat.select(*[q(f"v:{k}").alias(k) for k in plain_keys], *[q(f"o:{k}") for k in obs_keys], *[q(f"l:{n}").alias(n) for n in plan.sources], q(ORDER))

@@ -28,12 +28,12 @@ class Plan:
     raw_keys: tuple[str, ...]
     cells: CellPolicy
     notation: Notation = field(default_factory=Notation)
+    label_column: str | None = None  # where fragments get their labels, if the header has it
 
     def projection(self) -> list[str]:
         """The physical columns that the level reads."""
         own = [c.source for c in (*self.obs, *self.var)] + list(self.sources.values()) + [c for s in self.samples.values() for c in s.values()]
-        if self.rule.fragments and self.rule.fragments.label_column:
-            own.append(self.rule.fragments.label_column)
+        own.append(self.label_column)
         return list(dict.fromkeys(c for c in own if c))
 
     def snapshot(self) -> dict[str, Any]:
@@ -123,6 +123,11 @@ def resolve(rule: EffectiveRule, header: tuple[str, ...], notation: Notation = N
     else:
         layer_rules = [x for x in layer_rules if x.source in names]
         sources = {x.name: x.source for x in layer_rules}
+    label_column = None
+    if rule.fragments and rule.fragments.label_strategy == "column":
+        label_column = rule.fragments.label_column if rule.fragments.label_column in names else None
+        if label_column is None and rule.fragments.label_required:
+            raise IncompatibleSourceError(f"level {rule.level!r} misses the fragment labels {rule.fragments.label_column!r}")
     repeated = rule.measurements.repeated_cells
     policy = CellPolicy(repeated.mode, repeated.by, repeated.best, tuple(n for n in repeated.sum if n in {x.name for x in layer_rules}))
-    return Plan(rule, obs, var, tuple(computed), tuple(_layer(x, notation) for x in layer_rules), sources, samples, raw_keys, policy, notation)
+    return Plan(rule, obs, var, tuple(computed), tuple(_layer(x, notation) for x in layer_rules), sources, samples, raw_keys, policy, notation, label_column)
