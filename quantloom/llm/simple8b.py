@@ -28,9 +28,12 @@ def encode(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if n == 0:
         return np.zeros(0, dtype=U64), np.zeros(len(counts) + 1, dtype=np.int64), np.zeros(0, dtype=U64)
     top = int(ids.max())
-    room = np.repeat(ends, counts) - np.arange(n)  # ids left in the document
+    # ids left in the document, as far as a word can hold them
+    room = np.full(n, 60, dtype=np.int8)
+    for k in range(min(60, int(counts.max()))):
+        room[(ends - 1 - k)[counts > k]] = k + 1
     selector = np.full(n, ESCAPE, dtype=np.int8)
-    step = np.ones(n, dtype=np.int64)
+    step = np.ones(n, dtype=np.int8)
     broken = np.zeros(n + 1, dtype=np.int32)
     # selectors that hold every id have no more to check than the narrowest of them
     enough = max((s for s, (_, bits) in LAYOUT.items() if top >> bits), default=1) + 1
@@ -38,17 +41,18 @@ def encode(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         count, bits = LAYOUT[s]
         if top >> bits == 0:
             selector[:] = s
-            step = np.minimum(room, count)
+            step = np.minimum(room, np.int8(count))
             continue
         large = ids >= (1 << bits)
-        start = np.flatnonzero(~large)
+        start = np.flatnonzero(~large).astype(np.int32)
         if not len(start):
             break
         np.cumsum(large, out=broken[1:])
-        size = np.minimum(room[start], count)
+        size = np.minimum(room[start], np.int8(count))
         fits = broken[start + size] == broken[start]
-        selector[start[fits]] = s
-        step[start[fits]] = size[fits]
+        start = start[fits]
+        selector[start] = s
+        step[start] = size[fits]
     jump, places, i = step.tolist(), [], 0
     while i < n:
         places.append(i)
@@ -56,14 +60,14 @@ def encode(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     at = np.array(places, dtype=np.int64)
     chosen = selector[at]
     out = np.zeros(len(at), dtype=U64)
-    padded = np.concatenate([ids.astype(U64), np.zeros(64, dtype=U64)])
+    padded = np.concatenate([ids, np.zeros(64, dtype=ids.dtype)])
     for s, (count, bits) in LAYOUT.items():
         mine = np.flatnonzero(chosen == s)
         if len(mine):
-            first, size = at[mine], step[at[mine]]
+            first, size = at[mine], step[at[mine]].astype(np.int64)
             word = np.full(len(mine), U64(s) << U64(60))
             for k in range(count):
-                word |= np.where(k < size, padded[first + k], U64(0)) << U64(bits * k)
+                word |= np.where(k < size, padded[first + k].astype(U64), U64(0)) << U64(bits * k)
             out[mine] = word
     escaped = np.flatnonzero(chosen == ESCAPE)
     out[escaped] = np.arange(len(escaped), dtype=U64)

@@ -20,12 +20,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm import simple8b
-from quantloom.llm.common import id_text, saved
+from quantloom.llm.common import id_text, saved, tidy
 from quantloom.llm.textkernel import SPACE, Slice, lowered, slices, words
 
 END_ID = 1
 BLOCK_IDS = 1 << 16
-CACHE_WORDS = 700_000
+CACHE_WORDS = 650_000
 #: Texts encoded together; the more, the fewer lookups of words that repeat.
 ENCODE_BYTES = 6 << 20
 
@@ -94,6 +94,7 @@ class WordCache:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.most = CACHE_WORDS
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -118,7 +119,7 @@ class WordCache:
         self._add(pieces, np.fromiter((x for ids in made for x in ids), dtype=np.uint32, count=int(sizes.sum())), sizes)
 
     def codes(self, pieces: list[str]) -> np.ndarray:
-        if len(self.code) + len(pieces) > CACHE_WORDS:
+        if len(self.code) + len(pieces) > self.most:
             self.clear()
         found = list(map(self.code.get, pieces))
         fresh = [p for p, c in zip(pieces, found, strict=True) if c is None]
@@ -150,9 +151,10 @@ class WordCache:
         code = np.insert(code, piece_end, 0)
         starts = self.starts[code]
         size = self.starts[code + 1] - starts
-        before = np.r_[0, np.cumsum(size)]
+        before = np.zeros(len(size) + 1, dtype=np.int64)
+        np.cumsum(size, out=before[1:])
         own = np.diff(before[np.r_[0, piece_end + np.arange(1, len(part) + 1)]])
-        out = self.flat[np.arange(before[-1]) + np.repeat(starts - before[:-1], size)]
+        out = self.flat[np.arange(before[-1], dtype=np.int32) + np.repeat((starts - before[:-1]).astype(np.int32), size)]
         return out, own
 
 
@@ -168,15 +170,16 @@ def _cache(path: str) -> WordCache:
 ENCODED = "shard int, doc_id long, n long, words binary, escapes binary"
 
 
-def _encode(path: str, bounds: np.ndarray):
+def _encode(path: str, bounds: np.ndarray, cache_words: int, encode_bytes: int):
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         cache = _cache(path)
+        cache.most = cache_words
         for batch in batches:
             ids = batch.column(0)
-            for part in slices(batch.column(1), ENCODE_BYTES):
+            for part in slices(batch.column(1), encode_bytes):
                 tokens, counts = cache.encode(part)
                 words, first, escapes = simple8b.encode(tokens, counts)
                 which = np.r_[0, np.cumsum(np.bincount(np.searchsorted(first, np.flatnonzero((words >> np.uint64(60)) == 0), side="right") - 1, minlength=len(counts)))] if len(escapes) else np.zeros(len(counts) + 1, dtype=np.int64)
@@ -244,12 +247,15 @@ def shard_bounds(docs: DataFrame, shards: int) -> np.ndarray:
     return np.unique(np.array(found or [], dtype=np.int64))
 
 
-def write_blocks(docs: DataFrame, tokenizer: str, shards: int | None = None) -> DataFrame:
-    """Encode and write all documents; the written table of blocks."""
+def write_blocks(docs: DataFrame, tokenizer: str, shards: int | None = None, cache_words: int = CACHE_WORDS, encode_bytes: int = ENCODE_BYTES) -> DataFrame:
+    """Encode and write all documents; the written table of blocks.
+
+    ``cache_words`` and ``encode_bytes`` trade a worker's memory for speed.
+    """
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    encoded = id_text(docs).mapInArrow(_encode(tokenizer, shard_bounds(docs, shards)), ENCODED)
+    encoded = id_text(docs).mapInArrow(tidy(_encode(tokenizer, shard_bounds(docs, shards), cache_words, encode_bytes)), ENCODED)
     ordered = encoded.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "n", "words")
-    return saved(ordered.mapInArrow(_block, BLOCKS), "token-blocks")
+    return saved(ordered.mapInArrow(tidy(_block), BLOCKS), "token-blocks")
 
 
 def decode_block(row: dict) -> np.ndarray:
@@ -282,9 +288,9 @@ def read_digests(blocks: DataFrame) -> DataFrame:
     # one row for each shard: as many as the writer had partitions
     totals = blocks.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     before = totals.select("shard", F.coalesce(F.sum("total").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rows = blocks.mapInArrow(_digest, "shard int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    rows = blocks.mapInArrow(tidy(_digest), "shard int, doc_id long, local long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer: str) -> DataFrame:
-    return read_digests(write_blocks(docs, tokenizer))
+def token_output(docs: DataFrame, tokenizer: str, cache_words: int = CACHE_WORDS, encode_bytes: int = ENCODE_BYTES) -> DataFrame:
+    return read_digests(write_blocks(docs, tokenizer, None, cache_words, encode_bytes))
