@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import pyarrow as pa
@@ -35,7 +36,19 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._quantloom_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing will read again."""
+    for table in tables:
+        path = getattr(table, "_quantloom_path", None)
+        if path:
+            jvm = table.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
@@ -47,6 +60,24 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if small(df, row_bytes, limit) else df
 
 
+def tidy(run):
+    """A batch function whose worker gives freed memory back to the system when a task ends.
+
+    Workers live on between tasks, beside the executor's heap.
+    """
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only; others need no asking
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """Only the two columns an operator reads, so extra columns can't clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

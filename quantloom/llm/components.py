@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import saved
+from quantloom.llm.common import discard, saved
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         twice = parents.filter("n > 1").limit(1).count()
         if not twice and not current.join(parents.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
             break
-        current = saved(_small_star(_large_star(current).distinct()).distinct(), "cc")
+        before, current = current, saved(_small_star(_large_star(current).distinct()).distinct(), "cc")
+        discard(before)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     own = current.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))

@@ -18,16 +18,15 @@ their own.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import BROADCAST_BYTES, id_text, saved
+from quantloom.llm.common import BROADCAST_BYTES, id_text, saved, tidy
 
 MIN_DOCS = 10
 _STRIP = " \t\n\x0b\x0c\r"
@@ -155,7 +154,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def references(docs: DataFrame, shards: int | None = None) -> DataFrame:
     """The exact table of a set of documents; counted map-side before the shuffle."""
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = id_text(docs).select("text").mapInArrow(_keys, "hi long, lo long, refs long")
+    found = id_text(docs).select("text").mapInArrow(tidy(_keys), "hi long, lo long, refs long")
     return found.groupBy("hi", "lo").agg(F.sum("refs").alias("refs")).select(F.pmod("hi", F.lit(shards)).cast("int").alias("shard"), "hi", "lo", "refs")
 
 
@@ -174,18 +173,6 @@ def _settle(changes: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------- filters and use
-def _build(min_docs: int):
-    def build(frames):
-        import pandas as pd
-
-        for _, rows in frames:
-            wanted = rows.loc[rows["refs"] >= min_docs, "lo"].to_numpy()
-            made = CuckooFilter.of(wanted)
-            yield pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "table": [made.to_bytes()]})
-
-    return build
-
-
 def filters(frequent: DataFrame) -> DataFrame:
     """One row for each shard: the cuckoo filter of its frequent keys."""
 
@@ -279,7 +266,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, state: DataFrame | No
     if wrong.count() * 64 > broadcast_bytes:
         return _by_join(docs, frequent)
     exceptions = {(r[0], r[1]) for r in wrong.collect()}
-    return id_text(docs).mapInArrow(_apply(_filter_test(tables, exceptions, shards)), OUT)
+    return id_text(docs).mapInArrow(tidy(_apply(_filter_test(tables, exceptions, shards))), OUT)
 
 
 def _explode(batches):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import id_text, maybe_broadcast, saved
+from quantloom.llm.common import discard, id_text, maybe_broadcast, saved, tidy
 from quantloom.llm.components import connected_components
 from quantloom.llm.textkernel import U64, mix, shingle_sets, slices, stream
 
@@ -133,22 +133,22 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     (those of stars and of the pairs that stars left open).
     """
     texts = id_text(docs)
-    shapes = saved(texts.mapInArrow(_shapes, _SHAPES), "shapes")
+    shapes = saved(texts.mapInArrow(tidy(_shapes), _SHAPES), "shapes")
     classes = shapes.filter("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     # The bands of a class are those of its representative; equal sets have equal bands.
     rep_ids = classes.filter(F.col("n") >= LEAST).select("f1", "f2", F.col("rep").alias("doc_id"))
     members = shapes.join(rep_ids, ["f1", "f2", "doc_id"], "left_semi").select("doc_id", "n", F.explode("bands").alias("key"))
     members = members.dropDuplicates(["key", "doc_id"])
     crowded = members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
-    buckets = saved(members.join(crowded, "key"), "buckets")
-    wanted = saved(buckets.select("doc_id").distinct(), "bucket-docs")
+    crowd = saved(members.join(crowded, "key"), "buckets")
+    wanted = saved(crowd.select("doc_id").distinct(), "bucket-docs")
 
     # full sets of candidates only, and how many shingles each shares with no other
     own = texts.join(maybe_broadcast(wanted, 16), "doc_id", "left_semi")
-    sets = saved(own.mapInArrow(_sets, "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "shingle-sets")
+    sets = saved(own.mapInArrow(tidy(_sets), "doc_id long, shingles array<long>").groupBy("doc_id").agg(F.max("shingles").alias("shingles")), "shingle-sets")
     spread = saved(sets.select("doc_id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("df"), F.min("doc_id").alias("doc_id")), "shingle-spread")
     alone = saved(spread.filter("df = 1").groupBy("doc_id").agg(F.count("*").alias("u")), "own-shingles")
-    buckets = buckets.join(alone, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("u", F.lit(0)).alias("u"))
+    buckets = crowd.join(alone, "doc_id", "left").select("key", "doc_id", "n", F.coalesce("u", F.lit(0)).alias("u"))
     # who shares too little with all others together has no link: an exact proof
     buckets = saved(buckets.filter((F.col("n") - F.col("u")) * 100 >= F.col("n") * similarity), "open-buckets")
 
@@ -162,8 +162,8 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     # What the stars left open: same bucket, different components, link possible.
     named = buckets.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", "u", F.coalesce("component", "doc_id").alias("component"))
     mixed = named.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).filter("mixed").select("key")
-    named = saved(named.join(mixed, "key"), "open-members")
-    open_docs = named.select("doc_id", "n", "u", "component").distinct()
+    members_left = saved(named.join(mixed, "key"), "open-members")
+    open_docs = members_left.select("doc_id", "n", "u", "component").distinct()
     rarest = sets.join(open_docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     rarest = rarest.join(spread.filter("df > 1").select("s", "df"), "s", "left").select("doc_id", "n", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "s").alias("x"))
     length = (F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1).cast("int")
@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
     by_shingle = sides(rarest.select("doc_id", "n", "u", "component", F.explode("rare").alias("s")), "s")
     core = rarest.filter(F.col("core") & ((F.col("n") - F.col("v")) * 100 >= F.col("n") * similarity)).select("doc_id", "n", F.col("v").alias("u"), "component")
-    by_bucket = sides(named.select("key", "doc_id").join(core, "doc_id"), "key")
+    by_bucket = sides(members_left.select("key", "doc_id").join(core, "doc_id"), "key")
     pairs = by_shingle.unionAll(by_bucket).distinct().join(star, ["a", "b"], "left_anti")
     more = saved(_confirmed(pairs, sets, similarity), "open-links")
     every = links.unionAll(more)
@@ -190,6 +190,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     named = classes.join(reached.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left")
     named = saved(named.select("f1", "f2", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "classes")
 
+    discard(crowd, wanted, sets, spread, alone, buckets, links, members_left, rarest, more)
     full = shapes.filter("n > 0 and doc_id is not null").join(named, ["f1", "f2"]).select("doc_id", "n", "component", "n_links")
     rest = shapes.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component"), F.lit(0).cast("long").alias("n_links"))
     return full.unionAll(rest).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"), "n_links")

@@ -16,7 +16,6 @@ Rows are independent: ties, repeated rows and extra columns don't matter.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -26,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import id_text
+from quantloom.llm.common import id_text, tidy
 from quantloom.llm.textkernel import Slice, slices
 
 # The base patterns.
@@ -252,7 +251,7 @@ def learn(docs: DataFrame) -> SpanClassifier:
     The counts have at most 3**4 vote patterns times the values of the features:
     a bound that does not depend on the input.
     """
-    counts = id_text(docs).select("text").mapInArrow(_count, "votes string, features string, n long").groupBy("votes", "features").agg(F.sum("n").alias("n"))
+    counts = id_text(docs).select("text").mapInArrow(tidy(_count), "votes string, features string, n long").groupBy("votes", "features").agg(F.sum("n").alias("n"))
     rows = [(tuple(map(int, r["votes"].split(","))), tuple(map(int, r["features"].split(","))), r["n"]) for r in counts.collect()]
     rows.sort()
     examples = []
@@ -306,7 +305,7 @@ def _spans(model: SpanClassifier):
 def find_pii(docs: DataFrame, model: SpanClassifier | None = None) -> DataFrame:
     """doc_id, counts of the base kinds, base spans and all spans of every text."""
     model = model or learn(docs)
-    return id_text(docs).mapInArrow(_spans(model), OUT)
+    return id_text(docs).mapInArrow(tidy(_spans(model)), OUT)
 
 
 def pii_digests(docs: DataFrame) -> DataFrame:

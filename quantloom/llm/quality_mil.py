@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import held_out, id_text
+from quantloom.llm.common import held_out, id_text, tidy
 from quantloom.llm.samples import labelled_sample
 from quantloom.llm.textkernel import LOWER, Hasher, Slice, slices, words
 
@@ -187,7 +187,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
         for batch, found in scores(batches, shipped.value):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, score double").select(
+    return id_text(docs).mapInArrow(tidy(run), "doc_id long, score double").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
 
@@ -200,4 +200,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
         for batch, found in scores(batches, shipped.value):
             yield batch.filter(pa.array(found >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import held_out, id_text
+from quantloom.llm.common import held_out, id_text, tidy
 from quantloom.llm.samples import labelled_sample
 from quantloom.llm.textkernel import NOT_WORD, U64, Hasher, Slice, Words, lowered, mix, slices, stream, words
 
@@ -268,7 +268,7 @@ def tag_toxicity(docs: DataFrame, field: Field) -> DataFrame:
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else [], pa.float64()), pa.array(spans, kind)], names=["doc_id", "score", "spans"])
 
-    return id_text(docs).mapInArrow(run, f"doc_id long, score double, spans {SPANS}")
+    return id_text(docs).mapInArrow(tidy(run), f"doc_id long, score double, spans {SPANS}")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
