@@ -13,6 +13,7 @@ from quantloom.operators.axis import Policy, field, q
 from quantloom.plans.resolve import Plan
 from quantloom.plans.rules import ColumnRule
 from quantloom.result import OBS, VAR, LayerInfo, Level
+from quantloom.store.shared import written
 
 ORDER = "_ord"
 
@@ -99,8 +100,14 @@ def _computed(frame: DataFrame, plan: Plan) -> tuple[DataFrame, dict]:
     return frame, report
 
 
-def execute(plan: Plan, source: DataFrame, prune: bool = False) -> Level:
-    """The level of a source frame (physical columns and ``_ord``)."""
+def execute(plan: Plan, source: DataFrame, prune: bool = False, staged: bool = True) -> Level:
+    """The level of a source frame (physical columns and ``_ord``).
+
+    The cleaned projection is written once as Parquet in the shared folder: the
+    checks and results that follow then read columns, not text or joins again, and
+    all see the same row order.  ``staged=False`` skips that for sources that are
+    columnar and carry their own total order.
+    """
     rule, keys = plan.rule, list(plan.raw_keys)
     body = source.select(*[q(c) for c in plan.projection()])
     rows = normalize_missing(source.select(*[q(c) for c in body.columns], F.struct(q(ORDER).alias("o")).alias(ORDER))) if ORDER in source.columns else normalize_missing(body).withColumn(ORDER, F.struct(F.monotonically_increasing_id().alias("o")))
@@ -109,6 +116,8 @@ def execute(plan: Plan, source: DataFrame, prune: bool = False) -> Level:
         present = present | q(c).isNotNull()
     rows = rows.filter(present)
 
+    if staged:
+        rows = written(rows, "level-source")
     label = rule.fragments.label_output if rule.fragments else None
     names = list(dict.fromkeys([*keys, *[c.name for c in plan.var]]))
     plain_keys = [k for k in keys if k != label]

@@ -566,7 +566,7 @@ def convert_rule(spark, d):
 
     rows = lines(spark, d).select("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "_ord")
     plan = resolve(Document(_RULE).rule("protein"), tuple(c for c in rows.columns if c != "_ord"))
-    level = execute(plan, rows)
+    level = execute(plan, rows, staged=False)
     out = level.cells.join(level.var, "var_pos").join(level.obs, "obs_pos")
     return out.select("part", "supplier", "flagged", F.round("quantity", 6).alias("quantity"), F.round("price", 6).alias("price"))
 
