@@ -33,7 +33,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def output_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_output(docs, tokenizer_path())
+    # workers share their executor with those of the other stages: less cache, same result
+    return token_output(docs, tokenizer_path(), cache_words=200_000, encode_bytes=2 << 20)
 
 
 STAGES = [
