@@ -268,3 +268,22 @@ def test_registry_covers_entry():
     own, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(own) and len(own) > 50
     json.dumps(sorted(own))
+
+
+def test_reshaping(spark):
+    from quantloom.operators import reshape
+
+    wide = spark.createDataFrame([(0, 1.0, -1.0, None), (1, None, 2.0, 3.0)], "var_pos long, a double, b double, c double")
+    cells_ = reshape.to_sparse(wide, "var_pos", {"a": 0, "b": 1, "c": 2}, fill=-1.0)
+    assert rows(cells_) == [(0, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0)]
+    assert rows(reshape.to_dense(cells_, wide, "var_pos", [0, 1, 2], fill=-1.0)) == [(0, 1.0, -1.0, -1.0), (1, -1.0, 2.0, 3.0)]
+    edges = spark.createDataFrame([("x", 1, "y", 0, 1.0)], "source string, row long, target string, column long, value double")
+    offsets = reshape.level_offsets(spark.createDataFrame([("x", 0, 5), ("y", 1, 3)], "level string, order int, size long"))
+    flat = reshape.to_global(edges, offsets)
+    assert rows(flat) == [(1, 5, 1.0)] and rows(reshape.to_levels(flat, offsets)) == rows(edges)
+    assert spark.range(1).select(reshape.json_label(F.lit("a"), F.lit(None))).first()[0] == '["a",null]'
+    gone = spark.createDataFrame([("k", 2), (None, 3)], "key string, n int")
+    assert rows(reshape.surviving(gone, spark.createDataFrame([(None,)], "key string"), ["key"])) == [(None, 3)]
+    assert rows(reshape.placeable_factors(spark.createDataFrame([(1, "f", "a"), (1, "f", "a"), (1, "g", "a"), (1, "g", "b")], "k int, f string, v string"), "k", "f", "v")) == [("f", 1, 2, True), ("g", 1, 2, False)]
+    with pytest.raises(InputPreparationError):
+        reshape.require_square(spark.createDataFrame([(0, 9)], "var_pos long, obs_pos long"), 2, 2)
