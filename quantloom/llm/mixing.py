@@ -29,13 +29,13 @@ CELLS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size in words, and the random number of each document."""
+def sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size in words, and the random number of each document; and columns to keep."""
     number = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ((number + F.lit(0.5)) / F.lit(float(1 << 48))).alias("u"),
+        ((number + F.lit(0.5)) / F.lit(float(1 << 48))).alias("u"), *keep,
     )
 
 
@@ -53,9 +53,12 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: flo
     return rows.select("source", "source_size", F.round(F.least("cap", F.col("w") * F.coalesce(level, F.lit(float("inf")))), 6).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken."""
-    own = saved(sizes(docs), "mix-sizes")
+def source_plan(own: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
+    """One row for each source, which decides on every document by itself.
+
+    ``own`` is a saved frame of ``sizes``.  A document gets ``whole`` copies, and one
+    more up to ``cut`` in the order of (u, doc_id, size), or if it is the filler.
+    """
     by_source = own.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(by_source, weights, total, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -90,16 +93,36 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTA
     filler = open_.groupBy("source").agg(F.min(F.struct(F.abs(F.col("size") - F.col("gap")).alias("off"), F.col("rank"), F.col("doc_id"), F.col("size"))).alias("f"))
     filler = saved(filler.select(F.col("source").alias("f_source"), F.col("f.doc_id").alias("f_id"), F.col("f.size").alias("f_size"), F.lit(1).alias("hit")), "mix-filler")
     filler = F.broadcast(filler) if filler.count() <= 200_000 else filler
-    out = drawn.join(filler, F.col("source").eqNullSafe(F.col("f_source")) & F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("size") == F.col("f_size")) & (F.col("extra") == 0), "left")
-    copies = F.col("whole") + F.when(F.col("hit").isNotNull(), 1).otherwise(F.col("extra"))
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    cuts = drawn.filter("extra = 1").groupBy("source").agg(F.max(F.struct("u", "doc_id", "size")).alias("cut"))
+    cuts = cuts.select(F.col("source").alias("c_source"), "cut")
+    out = plan.join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left").join(filler, F.col("source").eqNullSafe(F.col("f_source")), "left")
+    return saved(out.select(F.col("source").alias("m_source"), "source_size", "target", "whole", "cut", "f_id", "f_size", "hit"), "mix-plan")
+
+
+def with_copies(rows: DataFrame, plan: DataFrame, doc_id: str = "doc_id", source: str = "source", size: str = "size", u: str = "u") -> DataFrame:
+    """Rows with the plan of their source and ``copies``; no row is shuffled while the plan is small."""
+    side = F.broadcast(plan) if plan.count() <= 200_000 else plan
+    extra = F.coalesce(F.struct(F.col(u).alias("u"), F.col(doc_id).alias("doc_id"), F.col(size).alias("size")) <= F.col("cut"), F.lit(False))
+    filler = F.col("hit").isNotNull() & F.col(doc_id).eqNullSafe(F.col("f_id")) & (F.col(size) == F.col("f_size"))
+    joined = rows.join(side, F.col(source).eqNullSafe(F.col("m_source")))
+    return joined.withColumn("_copies", F.col("whole") + (extra | filler).cast("long"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken."""
+    own = saved(sizes(docs), "mix-sizes")
+    out = with_copies(own, source_plan(own, weights, total, most))
+    return out.select("doc_id", "source", "size", "source_size", "target", F.col("_copies").cast("long").alias("copies"), (F.col("_copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix with all their columns, each as often as it is taken."""
-    copies = saved(mix(docs).filter("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("_copies")), "mix-copies").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_copies")
-    found = docs.join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & docs["source"].eqNullSafe(F.col("_source")))
-    return found.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")
+    own = saved(sizes(docs), "mix-sizes")
+    plan = source_plan(own)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    number = sizes(rows.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.text").alias("text"), F.col("_row.source").alias("source"), "_row"), keep=("_row",))
+    found = with_copies(number, plan).filter("_copies > 0")
+    return found.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
 
 
 ORACLE = r"""
