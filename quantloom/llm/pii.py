@@ -62,7 +62,7 @@ _RUNS = {
     "email": (_bytes("._%+-@", _DIGITS, _UPPER, _LOWER), _bytes("@"), 5),
     "ip": (_bytes(".", _DIGITS), _bytes("."), 7),
     "card": (_bytes(" -", _DIGITS), _bytes("", _DIGITS), 13),
-    "phone": (_bytes("+ ().-", _DIGITS), _bytes("+"), 11),
+    "phone": (_bytes("+ ().-", _DIGITS), _bytes("+"), 10),
     "code": (_bytes("_-+/=", _DIGITS, _UPPER, _LOWER), _bytes("", _DIGITS), 20),
 }
 

@@ -394,6 +394,15 @@ def test_base_spans_against_plain_regex(spark, rough):
         assert set(spans) <= set(r["spans"].split(",")) or not spans
 
 
+def test_shortest_phone_in_a_run_of_its_own(spark):
+    texts = ["call\n+123456789\nnow", "tel:+123456789,x", 'p="+123456789"', "+123456789", "+12345678", "é=+1-23456789\n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pii_digests(docs).collect()}
+    for i, (n, base) in enumerate([(1, "phone:5:15"), (1, "phone:4:14"), (1, "phone:3:13"), (1, "phone:0:10"), (0, ""), (1, "phone:2:13")]):
+        assert (got[i]["n_phone"], got[i]["base_sha256"]) == (n, hashlib.sha256(base.encode()).hexdigest())
+        assert not base or base in got[i]["spans"].split(",")
+
+
 def test_weak_supervision_finds_secrets(spark, none):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = {r["doc_id"]: r["spans"] for r in pii.find_pii(df).collect()}
