@@ -18,7 +18,7 @@
    their bucket.  So the stars lose no link.
 5. Every edge is confirmed on the full sets before it counts.
 
-Sets of fewer than ``LEAST`` shingles can only be linked with equal sets at the
+Sets of fewer than ``least_size`` shingles can only be linked with equal sets at the
 threshold, so they need no signature.  Null and empty texts have no shingle and
 are linked with nothing.  Rows of one doc_id count as one document; rows without
 a doc_id come back with a null component.  An empty table gives an empty result.
@@ -41,14 +41,17 @@ BINS, ROWS = 96, 4
 BANDS = BINS // ROWS
 #: Candidates that may share a shingle for it to be joined on.
 RARE = 16
-#: With fewer shingles than this, no other set can reach the threshold.
-LEAST = 6
 
 _TRIES = 256
 _DONOR = (mix(np.arange(BINS, dtype=U64)[:, None] * U64(1 << 32) + np.arange(_TRIES, dtype=U64)[None, :] + U64(99)) % U64(BINS)).astype(np.int64)
 _FULL = U64(0xFFFFFFFFFFFFFFFF)
 
 
+def least_size(similarity: int) -> int | None:
+    """Shingles of the smallest set that another set, one with a shingle more, can be linked with; None if only equal sets are."""
+    return max(1, -(-similarity // (100 - similarity))) if similarity < 100 else None
+
+
 def signatures(doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     """(n, BINS) one-permutation minima of the sets given as (text, hash) rows."""
     bins = (hashes >> U64(32)) * U64(BINS) >> U64(32)
@@ -78,29 +81,33 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 _SHAPES = "doc_id long, n long, f1 long, f2 long, bands array<long>"
 
 
-def _shapes(batches):
-    """Of each text the number of shingles, a 128-bit print of the set, and band keys."""
-    for batch in batches:
-        for part in slices(batch.column(1)):
-            doc, hashes = shingle_sets(part)
-            n = len(part)
-            size = np.bincount(doc, minlength=n)
-            prints = []
-            for seed in (U64(0x51), U64(0xA7)):
-                total = np.zeros(n, dtype=U64)
-                if len(doc):
-                    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-                    total[doc[first]] = np.add.reduceat(mix(hashes ^ seed), first)
-                prints.append(mix(total + size.astype(U64)).view(np.int64))
-            big = size >= LEAST
-            place = np.cumsum(big) - 1
-            use = big[doc]
-            keys = band_keys(signatures(place[doc[use]], hashes[use], int(big.sum())))
-            offsets = np.r_[0, np.cumsum(np.where(big, BANDS, 0))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).slice(part.first, n), pa.array(size, pa.int64()), pa.array(prints[0]), pa.array(prints[1]),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
-            ], names=["doc_id", "n", "f1", "f2", "bands"])
+def _shapes(least: int | None):
+    """Of each text the number of shingles, a 128-bit print of the set, and from ``least`` shingles on band keys."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch.column(1)):
+                doc, hashes = shingle_sets(part)
+                n = len(part)
+                size = np.bincount(doc, minlength=n)
+                prints = []
+                for seed in (U64(0x51), U64(0xA7)):
+                    total = np.zeros(n, dtype=U64)
+                    if len(doc):
+                        first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                        total[doc[first]] = np.add.reduceat(mix(hashes ^ seed), first)
+                    prints.append(mix(total + size.astype(U64)).view(np.int64))
+                big = size >= least if least is not None else np.zeros(n, dtype=bool)
+                place = np.cumsum(big) - 1
+                use = big[doc]
+                keys = band_keys(signatures(place[doc[use]], hashes[use], int(big.sum())))
+                offsets = np.r_[0, np.cumsum(np.where(big, BANDS, 0))].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(part.first, n), pa.array(size, pa.int64()), pa.array(prints[0]), pa.array(prints[1]),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
+                ], names=["doc_id", "n", "f1", "f2", "bands"])
+
+    return run
 
 
 def _sets(batches):
@@ -132,11 +139,12 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     ``n_links`` counts the confirmed edges at the document's class representative
     (those of stars and of the pairs that stars left open).
     """
+    least = least_size(similarity)
     texts = id_text(docs)
-    shapes = saved(texts.mapInArrow(tidy(_shapes), _SHAPES), "shapes")
+    shapes = saved(texts.mapInArrow(tidy(_shapes(least)), _SHAPES), "shapes")
     classes = shapes.filter("n > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     # The bands of a class are those of its representative; equal sets have equal bands.
-    rep_ids = classes.filter(F.col("n") >= LEAST).select("f1", "f2", F.col("rep").alias("doc_id"))
+    rep_ids = classes.filter(F.col("n") >= least if least is not None else F.lit(False)).select("f1", "f2", F.col("rep").alias("doc_id"))
     members = shapes.join(rep_ids, ["f1", "f2", "doc_id"], "left_semi").select("doc_id", "n", F.explode("bands").alias("key"))
     members = members.dropDuplicates(["key", "doc_id"])
     crowded = members.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")

@@ -185,6 +185,25 @@ def test_near_dedup_against_brute_force(spark, rough, none):
     assert near_dedup.near_duplicates(none).collect() == []
 
 
+def test_least_size_follows_the_similarity():
+    assert [near_dedup.least_size(s) for s in (50, 80, 85, 99)] == [1, 4, 6, 99] and near_dedup.least_size(100) is None
+    for s in range(1, 100):
+        assert near_dedup.least_size(s) == next(n for n in range(1, 100) if 100 * n >= s * (n + 1))
+
+
+def test_short_texts_with_a_word_appended(spark):
+    docs = []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(8 + g % 3)]
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([*words, "more"]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for similarity in (80, 85, 100):
+        want = brute_components(docs, similarity)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, similarity).collect()}
+        assert got == want
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_stage(spark, df, SF).collect()) == list(range(0, 120, 2))
+
+
 def test_drop_near_duplicates_keeps_one_row_of_each_group(rough):
     kept = near_dedup.drop_near_duplicates(rough)
     assert kept.columns == rough.columns
