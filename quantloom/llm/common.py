@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import os
+import tempfile
 import uuid
 
 import pyarrow as pa
@@ -18,12 +20,11 @@ GAP_CHARS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; where it is unset, a temporary folder, on one machine only."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        import os
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "quantloom-checkpoints")
     return found.rstrip("/")
 
@@ -51,13 +52,9 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether a (saved) frame of rows of at most ``row_bytes`` may be broadcast."""
-    return df.count() * row_bytes <= limit
-
-
-def maybe_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    return F.broadcast(df) if small(df, row_bytes, limit) else df
+def maybe_broadcast(df: DataFrame, size: int, limit: int = BROADCAST_BYTES, rows: bool = True) -> DataFrame:
+    """``df`` with a broadcast hint if it is small: ``size`` bytes for each of its rows, or in all."""
+    return F.broadcast(df) if (df.count() * size if rows else size) <= limit else df
 
 
 def tidy(run):
