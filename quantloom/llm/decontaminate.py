@@ -1,17 +1,21 @@
 """Benchmark decontamination with DataFrame operations only.
 
-1. A window that is similar to an item shares a five-word shingle with it, so
-   shingles of the benchmark are the anchors: positions of a text whose shingle
-   some item has.  A best window may start at an anchor (moving it there loses
-   nothing it shares), and must hold at least the threshold's share of anchors.
-2. Such windows, each as long as its item, get a 64-bit SimHash of their
-   shingles, weighted by how often they occur.  Eight blocks of eight bits index
-   the items' fingerprints with all block values up to two bits away: of any
-   pair within 23 bits one block differs in at most two (pigeonhole), so every
-   fingerprint within the radius is found.
+1. Windows of a text as long as an item, from a place where a shingle of such an
+   item stands (a best window may start there: moving it loses nothing it shares)
+   and with as many of these shingles as the threshold asks for.  Which item it
+   may be is not known here, only the length.
+2. Windows and items get a 128-bit SimHash of their shingles, weighted by how often
+   they occur.  ``BLOCKS`` index the items' fingerprints under all block values up
+   to two bits away: of any pair within ``RADIUS`` bits one of the 13 blocks differs
+   in at most two (pigeonhole), so every fingerprint within the radius is found.
+   The index finds the item of a window.
 3. Pairs are confirmed by exact weighted-shingle similarity, sum of the smaller
    over sum of the larger counts.
 
+At a similarity of 80 percent a bit differs with probability 0.15, so 128 bits differ
+in 19.4 on average with a deviation of 4.1: the radius of 38 lies 4.6 deviations out,
+while unrelated fingerprints come within it once in 300,000.
+
 Items of fewer than five words are one shingle, their whole word sequence, and
 their windows are that long.  Items without words match nothing; null texts have
 no words.  Repeated rows of a doc_id count once; rows without doc_id are kept and
@@ -23,12 +27,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import GAP, GAP_CHARS, maybe_broadcast, saved
+from quantloom.llm.common import GAP, GAP_CHARS, discard, maybe_broadcast, saved
 
 WORDS = 5
 SIMILARITY = 80
-BLOCKS, BLOCK_BITS, NEAR_BITS = 8, 8, 2
-RADIUS = BLOCKS * (NEAR_BITS + 1) - 1
+NEAR_BITS = 2
+#: Blocks of the fingerprint: (half, first bit, bits).
+BLOCKS = tuple((half, first, size) for half, sizes in enumerate(((9, 9, 9, 9, 9, 9, 10), (11, 11, 11, 11, 10, 10))) for first, size in zip((sum(sizes[:i]) for i in range(len(sizes))), sizes, strict=True))
+RADIUS = len(BLOCKS) * (NEAR_BITS + 1) - 1
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,18 +53,54 @@ def shingle_array(words: str, size: int) -> Column:
 
 
 def simhash(shingles: str) -> Column:
-    """64-bit SimHash of an array column; each occurrence weighs one."""
-    half = F.size(shingles) / 2
+    """128-bit SimHash of an array column as two longs; each occurrence weighs one.
+
+    Sum j counts bit j of all hashes in its lower half and bit j + 32 in its upper one.
+    """
+    one, low = F.lit(1).cast("long"), F.lit((1 << 32) - 1).cast("long")
+    both = F.lit((1 << 32) + 1).cast("long")
+
+    def right(x: Column, n: Column) -> Column:
+        return F.call_function("shiftrightunsigned", x, n)
+
+    def bits(values: Column) -> Column:
+        half = F.size(values) / 2
+        sums = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda j: F.aggregate(values, F.lit(0).cast("long"), lambda a, h: a + right(h, j).bitwiseAND(both)))
+
+        def set_bits(total: Column, j: Column) -> Column:
+            mark = lambda count, at: F.when(count > half, F.call_function("shiftleft", one, at)).otherwise(F.lit(0).cast("long"))
+            return mark(total.bitwiseAND(low), j).bitwiseOR(mark(right(total, F.lit(32)), j + 32))
+
+        return F.aggregate(F.transform(sums, set_bits), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+    # a second hash of every shingle gives the other 64 bits
+    return F.transform(F.array(F.col(shingles), F.transform(shingles, lambda h: F.xxhash64(h))), bits)
+
+
+def block_value(fingerprint: Column, block: int) -> Column:
+    half, first, size = BLOCKS[block]
+    return F.call_function("shiftrightunsigned", fingerprint[half], F.lit(first)).bitwiseAND(F.lit((1 << size) - 1).cast("long")).cast("int")
+
 
-    def bit(b: Column) -> Column:
-        ones = F.aggregate(shingles, F.lit(0), lambda a, h: a + F.call_function("shiftright", h, b).bitwiseAND(F.lit(1).cast("long")).cast("int"))
-        return F.when(ones > half, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+def near_values(fingerprint: Column, block: int) -> Column:
+    """All values of a block that differ from the fingerprint's in at most ``NEAR_BITS`` bits."""
+    flips = F.expr(f"array({', '.join(str(x) for x in range(1 << BLOCKS[block][2]) if x.bit_count() <= NEAR_BITS)})")
+    return F.transform(flips, lambda x: x.bitwiseXOR(block_value(fingerprint, block)))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(bit(b)))
 
+def distance(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])) + F.bit_count(F.col(a)[1].bitwiseXOR(F.col(b)[1]))
 
-def block_value(fingerprint: Column, block: Column) -> Column:
-    return F.call_function("shiftrightunsigned", fingerprint, (block * BLOCK_BITS).cast("int")).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1).cast("long")).cast("int")
+
+def close_items(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, n_words, start, item_id) of all windows and items of one length within the radius."""
+    numbers = range(len(BLOCKS))
+    index = items.select("item_id", "n_words", "item_print", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), near_values(F.col("item_print"), b).alias("values")) for b in numbers])).alias("e"))
+    index = index.select("item_id", "n_words", "item_print", "e.block", F.explode("e.values").alias("value"))
+    probes = windows.select("doc_id", "n_words", "start", "window_print", F.explode(F.array(*[F.struct(F.lit(b).alias("block"), block_value(F.col("window_print"), b).alias("value")) for b in numbers])).alias("e"))
+    probes = probes.select("doc_id", "n_words", "start", "window_print", "e.block", "e.value")
+    hits = probes.join(index, ["n_words", "block", "value"]).filter(distance("item_print", "window_print") <= RADIUS)
+    return hits.select("doc_id", "n_words", "start", "item_id").distinct()
 
 
 def shared_weight(a: str, b: str) -> Column:
@@ -79,47 +121,50 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return rows.select("*", simhash("item").alias("item_print")).dropDuplicates(["item_id", "item"])
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, start_word, n_words, similarity): best window of each leaked item."""
-    items = saved(items_of(benchmark), "bench-items")
+def windows_of(docs: DataFrame, items: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(doc_id, n_words, start, window) of the places that may hold an item; saved."""
     short = [r["k"] for r in items.filter(F.col("k") < WORDS).select("k").distinct().collect()]  # at most four
     kinds = [WORDS, *sorted(short)]
-    need = F.ceil(F.size("item") * similarity / 100).cast("int")
-    marks = saved(items.select("item_id", "k", F.size("item").alias("m"), need.alias("need"), F.explode(F.array_distinct("item")).alias("h")), "bench-shingles")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")).filter("doc_id is not null")
-    worded = texts.select("doc_id", word_array(F.col("text")).alias("w"))
-
-    marks_side = maybe_broadcast(marks, 40)
-    anchors = None
-    for k in kinds:
-        part = worded.select("doc_id", F.posexplode(shingle_array("w", k)).alias("pos", "h")).withColumn("k", F.lit(k))
-        anchors = part if anchors is None else anchors.unionAll(part)
-    anchors = anchors.join(marks_side, ["k", "h"])
-    held = anchors.groupBy("doc_id", "item_id", "m", "need").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    # enough anchors from here on within one window of the item's size
-    starts = F.filter("at", lambda s, i: F.coalesce(F.get("at", i + F.col("need") - 1) < s + F.col("m"), F.lit(False)))
-    likely = saved(held.filter(F.size("at") >= F.col("need")).select("doc_id", "item_id", starts.alias("starts")).filter(F.size("starts") > 0), "bench-likely")
-
+    # shingles by the length of the items that have them, not by item
+    marks = saved(items.select("k", "n_words", F.size("item").alias("m"), F.explode(F.array_distinct("item")).alias("h")).distinct(), "bench-shingles")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+
+    def each_kind(rows: DataFrame, columns) -> DataFrame:
+        worded = rows.select("doc_id", word_array(F.col("text")).alias("w"))
+        out = None
+        for k in kinds:
+            part = worded.select("doc_id", F.lit(k).alias("k"), *columns(k))
+            out = part if out is None else out.unionAll(part)
+        return out
+
+    # exploded where it is made: a name for the array would be inlined into its own loop by the optimiser
+    anchors = each_kind(texts, lambda k: ((F.size("w") - (k - 1)).alias("total"), F.posexplode(shingle_array("w", k)).alias("pos", "h")))
+    anchors = anchors.join(maybe_broadcast(marks, 40), ["k", "h"])
+    held = anchors.groupBy("doc_id", "n_words", "k", "m", "total").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+
+    # a window of w shingles shares x with an item of m: x / (w + m - x) >= s, so x >= s (w + m) / (1 + s); only the end of a text cuts it short
+    def need(s: Column) -> Column:
+        return F.ceil((F.least(F.col("m"), F.col("total") - s) + F.col("m")) * similarity / (100 + similarity)).cast("int")
+
+    starts = F.filter("at", lambda s, i: F.coalesce(F.get("at", i + need(s) - 1) < s + F.col("m"), F.lit(False)))
+    likely = held.select("doc_id", "n_words", "k", "m", starts.alias("starts")).filter(F.size("starts") > 0)
+    likely = saved(likely.select("doc_id", "k", F.struct("n_words", "m", "starts").alias("of")), "bench-likely")
     wanted = likely.select("doc_id").distinct()
-    near = texts.join(maybe_broadcast(wanted, 16), "doc_id", "left_semi").select("doc_id", word_array(F.col("text")).alias("w"))
-    views = None
-    for k in kinds:
-        part = near.select("doc_id", F.lit(k).alias("k"), shingle_array("w", k).alias("all"))
-        views = part if views is None else views.unionAll(part)
-    sized = items.select("item_id", "n_words", "k", F.size("item").alias("m"))
-    windows = likely.join(maybe_broadcast(sized, 32), "item_id").join(views, ["doc_id", "k"])
-    windows = windows.select("doc_id", "n_words", "k", "m", "all", F.explode("starts").alias("start")).dropDuplicates(["doc_id", "n_words", "start"])
-    windows = windows.select("doc_id", "n_words", "start", F.slice("all", F.col("start") + 1, F.col("m")).alias("window"))
-    windows = saved(windows.select("*", simhash("window").alias("window_print")), "bench-windows")
-
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block")
-    flips = F.array(*[F.lit(x) for x in range(1 << BLOCK_BITS) if x.bit_count() <= NEAR_BITS])
-    index = items.select("item_id", "n_words", "item_print", blocks).select("item_id", "n_words", "item_print", "block", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(block_value(F.col("item_print"), F.col("block"))))).alias("value"))
-    probes = windows.select("doc_id", "n_words", "start", "window_print", blocks).withColumn("value", block_value(F.col("window_print"), F.col("block")))
-    close = F.bit_count(F.col("item_print").bitwiseXOR(F.col("window_print"))) <= RADIUS
-    hits = probes.join(index, ["n_words", "block", "value"]).filter(close).select("doc_id", "n_words", "start", "item_id").distinct()
-
-    pairs = hits.join(windows.drop("window_print"), ["doc_id", "n_words", "start"]).join(items.select("item_id", "item"), "item_id")
+    near = texts.join(maybe_broadcast(wanted, 16), "doc_id", "left_semi")
+    views = each_kind(near, lambda k: (shingle_array("w", k).alias("all"),))
+    rows = likely.join(views, ["doc_id", "k"]).select("doc_id", "of", "all", F.explode("of.starts").alias("start"))
+    rows = rows.select("doc_id", "of.n_words", "start", F.slice("all", F.col("start") + 1, F.col("of.m")).alias("window"))
+    out = saved(rows.dropDuplicates(["doc_id", "n_words", "start", "window"]).select("*", simhash("window").alias("window_print")), "bench-windows")
+    discard(marks, likely)
+    return out
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(doc_id, item_id, start_word, n_words, similarity): best window of each leaked item."""
+    items = saved(items_of(benchmark), "bench-items")
+    windows = windows_of(docs, items, similarity)
+    pairs = close_items(windows, items).join(windows.drop("window_print"), ["doc_id", "n_words", "start"]).join(items.select("item_id", "n_words", "item"), ["item_id", "n_words"])
+    pairs = pairs.filter(F.array_contains("item", F.get("window", F.lit(0))))
     shared = shared_weight("window", "item")
     pairs = pairs.select("doc_id", "item_id", "start", "n_words", shared.alias("x"), (F.size("window") + F.size("item")).alias("sum"))
     pairs = pairs.filter(F.col("x") * 100 >= (F.col("sum") - F.col("x")) * similarity).withColumn("s", F.col("x") / (F.col("sum") - F.col("x")))
