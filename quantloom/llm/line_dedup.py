@@ -5,11 +5,14 @@ documents that contain it.  Inserting documents adds their keys, deleting them
 subtracts, so any batch can be taken back.  From the table each shard builds a
 cuckoo filter of its frequent keys (16-bit fingerprints, four slots a bucket),
 which supports insert and delete too.  Filter hits among infrequent keys are
-found once in the exact table and travel with the filter as exceptions, so
+found once in the exact table; they are the shard's exceptions, so
 ``hit and not an exception`` is exactly ``refs >= min_docs``.
 
-Filters and exceptions are broadcast only while their measured size is below a
-bound; beyond it, lines are joined with the exact table (AQE splits hot keys).
+Nothing of this is collected or broadcast: keys are dealt by shard, and a task
+streams one shard after another, first its filter, then its exceptions, then the
+keys to test.  There are as many shards as keep a filter small, and a shard that
+many lines fall on (a line that a third of all documents have) is dealt over
+several tasks, each with a copy of its filter.
 
 Null and empty texts are one empty line.  A document counts once for a key,
 however often it has the line; repeated rows of one doc_id count as documents of
@@ -26,21 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import BROADCAST_BYTES, id_text, saved, tidy
+from quantloom.llm.common import discard, id_text, maybe_broadcast, saved, tidy
+from quantloom.llm.textkernel import slices
 
 MIN_DOCS = 10
-_STRIP = " \t\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-
-
-def line_key(line: str) -> str:
-    return line.strip(_STRIP).translate(_LOWER)
-
-
-def key_hash(key: str) -> tuple[int, int]:
-    """128 bits of a key as two signed 64-bit integers; the empty key has none."""
-    whole = xxhash.xxh3_128_intdigest(key)
-    return tuple(int(x) - (1 << 64) if x >> 63 else int(x) for x in (whole >> 64, whole & (1 << 64) - 1))
+#: Frequent keys in a filter, and keys that one task tests against it.
+SHARD_KEYS = 250_000
+TASK_KEYS = 2_000_000
+_STRIP = b" \t\n\x0b\x0c\r"
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 # ---------------------------------------------------------------- cuckoo filter
@@ -76,12 +73,11 @@ class CuckooFilter:
         return (self.table[one] == print_).any(1) | (self.table[two] == print_).any(1)
 
     def insert(self, hashes: np.ndarray) -> None:
-        """Insert distinct hashes; the table doubles when evictions don't settle."""
+        """Insert distinct hashes; OverflowError when evictions don't settle (``of`` then takes a larger table)."""
         hashes = np.asarray(hashes, dtype=np.int64)
-        kept = hashes
         for print_, one, two in zip(*self._split(hashes), strict=True):
             if not self._place(print_, one, two):
-                raise OverflowError(f"filter of {self.table.size} slots is full at {len(kept)} keys")
+                raise OverflowError(f"filter of {self.table.size} slots is full at {len(hashes)} keys")
 
     def _place(self, print_: np.uint16, one: int, two: int) -> bool:
         for bucket in (one, two):
@@ -134,28 +130,54 @@ class CuckooFilter:
 
 
 # ------------------------------------------------------- reference-count tables
+_KEYS = "doc_id long, print long, hi long, lo long, at array<int>"
+
+
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct keys of each document, counted over the batch: (hi, lo, refs)."""
+    """Rows (doc_id, print, hi, lo, at): the 128-bit hash of every distinct key of a text, and its lines.
+
+    UTF-8 bytes are stripped and lower-cased as they are: no byte of a longer character
+    is a separator or a letter from A to Z.
+    """
+    digest = xxhash.xxh3_128_digest
     for batch in batches:
-        counts: dict[tuple[int, int], int] = {}
-        known: dict[str, tuple[int, int]] = {}
-        for text in batch.column(0).to_pylist():
-            for key in {line_key(x) for x in (text or "").split("\n")}:
-                if key:
-                    if (h := known.get(key)) is None:
-                        h = known[key] = key_hash(key)
-                    counts[h] = counts.get(h, 0) + 1
-        yield pa.RecordBatch.from_pydict({
-            "hi": pa.array([k[0] for k in counts], pa.int64()), "lo": pa.array([k[1] for k in counts], pa.int64()),
-            "refs": pa.array(counts.values(), pa.int64()),
-        })
+        for part in slices(batch.column(2)):
+            low = part.data.tobytes().translate(_LOWER)
+            offsets = part.offsets.tolist()
+            row, prints, at = [], [], []
+            for i in range(len(part)):
+                own: dict[bytes, list[int]] = {}
+                for k, line in enumerate(low[offsets[i] : offsets[i + 1]].split(b"\n")):
+                    if key := line.strip(_STRIP):
+                        own.setdefault(digest(key), []).append(k)
+                row += [i] * len(own)
+                prints += own
+                at += own.values()
+            hashes = np.frombuffer(b"".join(prints), dtype=">i8").astype(np.int64).reshape(-1, 2)
+            take = pa.array(row, pa.int64())
+            of = batch.slice(part.first, len(part))
+            yield pa.RecordBatch.from_arrays([of.column(0).take(take), of.column(1).take(take), pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(at, pa.list_(pa.int32()))], names=["doc_id", "print", "hi", "lo", "at"])
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, print and text; (doc_id, print) names a text, equal rows have equal names."""
+    text = F.coalesce("text", F.lit(""))
+    return id_text(docs).select("doc_id", F.xxhash64(text).alias("print"), text.alias("text"))
+
+
+def line_keys(docs: DataFrame) -> DataFrame:
+    """One row for each document and distinct key."""
+    return _named(docs).mapInArrow(tidy(_keys), _KEYS)
+
+
+def _counted(keys: DataFrame, shards: int) -> DataFrame:
+    """The exact table of line keys; counted map-side before the shuffle."""
+    return keys.groupBy("hi", "lo").agg(F.count("*").alias("refs")).select(F.pmod("hi", F.lit(shards)).cast("int").alias("shard"), "hi", "lo", "refs")
 
 
 def references(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """The exact table of a set of documents; counted map-side before the shuffle."""
-    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = id_text(docs).select("text").mapInArrow(tidy(_keys), "hi long, lo long, refs long")
-    return found.groupBy("hi", "lo").agg(F.sum("refs").alias("refs")).select(F.pmod("hi", F.lit(shards)).cast("int").alias("shard"), "hi", "lo", "refs")
+    """The exact table of a set of documents."""
+    return _counted(line_keys(docs), shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def insert(state: DataFrame, docs: DataFrame, shards: int) -> DataFrame:
@@ -184,115 +206,89 @@ def filters(frequent: DataFrame) -> DataFrame:
     return frequent.select("shard", "lo").groupBy("shard").applyInPandas(build, "shard int, table binary")
 
 
-def _hits(tables: dict[int, bytes]):
-    """Rows of the exact table that their shard's filter reports."""
-    made = {}
+#: Order of the rows of one shard in one task.
+_FILTER, _EXCEPTION, _KEY = 0, 1, 2
+_DEALT = "shard int, salt int, kind int, table binary, hi long, lo long, doc_id long, print long, at array<int>"
 
-    def hits(batches):
-        for shard, data in tables.items():
-            made.setdefault(shard, CuckooFilter.from_bytes(data))
-        for batch in batches:
-            shard, lo = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
-            keep = np.zeros(len(shard), dtype=bool)
-            for s in np.unique(shard):
-                if s in made:
-                    here = np.flatnonzero(shard == s)
-                    keep[here] = made[s].contains(lo[here])
-            yield batch.filter(pa.array(keep))
 
-    return hits
+def _dealt(rows: DataFrame, kind: int) -> DataFrame:
+    """Rows in the form that ``probe`` reads; columns that they lack are null."""
+    made = {"shard": F.col("shard"), "salt": F.col("salt"), "kind": F.lit(kind)}
+    return rows.select(*[made.get(n, F.col(n) if n in rows.columns else F.lit(None)).cast(t).alias(n) for n, t in (c.split(" ") for c in _DEALT.split(", "))])
 
 
-def _apply(test):
-    """Drop lines whose key ``test`` reports; digest what stays."""
-
-    def run(batches):
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            split = [(t or "").split("\n") for t in texts]
-            keys = [[line_key(x) for x in lines] for lines in split]
-            drop = test({k for ks in keys for k in ks if k})
-            kept = ["\n".join(x for x, k in zip(lines, ks, strict=True) if k not in drop) for lines, ks in zip(split, keys, strict=True)]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": ids, "n_lines": pa.array([len(x) for x in split], pa.int64()),
-                "n_dropped": pa.array([sum(k in drop for k in ks) for ks in keys], pa.int64()), "kept_text": pa.array(kept, pa.string()),
-            })
-
-    return run
-
-
-def _filter_test(tables: dict[int, bytes], exceptions: set[tuple[int, int]], shards: int):
-    state = {}
-
-    def test(keys: set[str]) -> set[str]:
-        if not state:
-            state.update({s: CuckooFilter.from_bytes(d) for s, d in tables.items()})
-        names = list(keys)
-        hashed = [key_hash(k) for k in names]
-        out: set[str] = set()
-        by_shard: dict[int, list[int]] = {}
-        for i, (hi, _) in enumerate(hashed):
-            by_shard.setdefault(hi % shards, []).append(i)
-        for s, members in by_shard.items():
-            if s in state:
-                found = state[s].contains(np.array([hashed[i][1] for i in members], dtype=np.int64))
-                out.update(names[i] for i, hit in zip(members, found, strict=True) if hit and hashed[i] not in exceptions)
-        return out
-
-    return test
-
-
-OUT = "doc_id long, n_lines long, n_dropped long, kept_text string"
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, state: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The key rows that the filter of their shard and task reports and that are no exception."""
+    shard, made, known = None, None, np.zeros((0, 2), dtype=np.int64)
+    wrong: list[np.ndarray] = []
+    for batch in batches:
+        of = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1).astype(np.int64)
+        kind = batch.column(2).to_numpy(zero_copy_only=False)
+        hashes = np.stack([batch.column(k).fill_null(0).to_numpy(zero_copy_only=False) for k in (4, 5)], axis=1)
+        keep = np.zeros(len(kind), dtype=bool)
+        cuts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]).any(1) | (kind[1:] != kind[:-1])])
+        for a, b in zip(cuts, [*cuts[1:], len(kind)], strict=True) if len(kind) else ():
+            if shard != tuple(of[a]):
+                shard, made, wrong, known = tuple(of[a]), None, [], known[:0]
+            if kind[a] == _FILTER:
+                made = CuckooFilter.from_bytes(batch.column(3)[int(a)].as_py())
+            elif kind[a] == _EXCEPTION:
+                wrong.append(hashes[a:b])
+            elif made is not None:
+                if wrong:
+                    known, wrong = np.unique(np.concatenate([known, *wrong]), axis=0), []
+                hit = made.contains(hashes[a:b, 1])
+                if len(known):
+                    some = np.flatnonzero(hit)
+                    at = np.searchsorted(known[:, 0], hashes[a + some, 0])  # keys of one hi are told apart by lo
+                    for step in range(int(np.unique(known[:, 0], return_counts=True)[1].max())):
+                        place = np.minimum(at + step, len(known) - 1)
+                        hit[some] &= ~(known[place] == hashes[a + some]).all(1)
+                keep[a:b] = hit
+        found = batch.filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([found.column(k) for k in (0, 4, 5, 6, 7, 8)], names=["shard", "hi", "lo", "doc_id", "print", "at"])
+
+
+def probe(tables: DataFrame, exceptions: DataFrame | None, keys: DataFrame, shards: int) -> DataFrame:
+    """The ``keys`` (shard, hi, lo and more) that their shard's filter reports and that are no exceptions.
+
+    A shard of more than ``TASK_KEYS`` keys is dealt over several tasks.
+    """
+    crowded = {r["shard"]: -(-r["n"] // TASK_KEYS) for r in keys.groupBy("shard").agg(F.count("*").alias("n")).filter(F.col("n") > TASK_KEYS).collect()}  # a row a shard
+    turns = F.get(F.array(*[F.lit(crowded.get(k, 1)) for k in range(shards)]), F.col("shard")) if crowded else F.lit(1)
+    copies = F.explode(F.sequence(F.lit(0), turns - 1)).alias("salt")
+    salt = F.pmod(F.xxhash64("hi", "lo", *[c for c in ("doc_id", "print") if c in keys.columns]), turns).cast("int").alias("salt")
+    rows = _dealt(tables.select("shard", "table", copies), _FILTER).unionAll(_dealt(keys.select("*", salt), _KEY))
+    if exceptions is not None:
+        rows = rows.unionAll(_dealt(exceptions.select("shard", "hi", "lo", copies), _EXCEPTION))
+    ordered = rows.repartition(F.col("shard"), F.col("salt")).sortWithinPartitions("shard", "salt", "kind")
+    return ordered.mapInArrow(tidy(_probe), "shard int, hi long, lo long, doc_id long, print long, at array<int>")
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, state: DataFrame | None = None, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, kept_text.
 
     ``state`` is a maintained reference table; without it, the table of ``docs``.
     """
-    spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if state is None:
-        state = saved(references(docs, shards), "line-refs")
-    else:
-        shards = max(shards, 1 + (state.agg(F.max("shard")).first()[0] or 0))
-        state = state.withColumn("shard", F.pmod("hi", F.lit(shards)).cast("int"))
-    frequent = state.filter(F.col("refs") >= min_docs)
-    if frequent.count() * 8 > broadcast_bytes:
-        return _by_join(docs, frequent)
-    tables = {r["shard"]: bytes(r["table"]) for r in filters(frequent).collect()}
-    wrong = state.filter(F.col("refs") < min_docs).mapInArrow(_hits(tables), state.schema)
-    wrong = saved(wrong.select("hi", "lo"), "line-exceptions")
-    if wrong.count() * 64 > broadcast_bytes:
-        return _by_join(docs, frequent)
-    exceptions = {(r[0], r[1]) for r in wrong.collect()}
-    return id_text(docs).mapInArrow(tidy(_apply(_filter_test(tables, exceptions, shards))), OUT)
-
-
-def _explode(batches):
-    for batch in batches:
-        rows = [(i, *key_hash(k)) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k in {line_key(x) for x in (t or "").split("\n")} if k]
-        yield pa.RecordBatch.from_pydict({"row": pa.array([r[0] for r in rows], pa.string()), "hi": pa.array([r[1] for r in rows], pa.int64()), "lo": pa.array([r[2] for r in rows], pa.int64())})
-
-
-def _by_join(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """The same without a broadcast: keys of each row joined with the exact table."""
-    own = id_text(docs).withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce("text", F.lit("")))))
-    keys = own.select("row", "text").distinct().mapInArrow(_explode, "row string, hi long, lo long")
-    found = keys.join(frequent.select("hi", "lo"), ["hi", "lo"]).groupBy("row").agg(F.collect_set(F.struct("hi", "lo")).alias("gone"))
-
-    def run(batches):
-        for batch in batches:
-            parts = [[], [], [], []]
-            for i, text, gone in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                lines = (text or "").split("\n")
-                drop = {(g["hi"], g["lo"]) for g in gone or ()}
-                kept = [x for x in lines if not drop or not (k := line_key(x)) or key_hash(k) not in drop]
-                for p, v in zip(parts, (i, len(lines), len(lines) - len(kept), "\n".join(kept)), strict=True):
-                    p.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.int64()), pa.array(parts[3], pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept_text"])
-
-    return own.join(found, "row", "left").select("doc_id", "text", "gone").mapInArrow(run, OUT)
+    keys = saved(line_keys(docs), "line-keys")
+    counted = saved(_counted(keys, 1), "line-refs") if state is None else None
+    state = counted if state is None else state
+    is_frequent = F.col("refs") >= min_docs
+    many = state.filter(is_frequent).count()
+    shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // shard_keys))
+    shard = F.pmod("hi", F.lit(shards)).cast("int")
+    state = state.withColumn("shard", shard)
+    tables = saved(filters(state.filter(is_frequent)), "line-filters")
+    wrong = saved(probe(tables, None, state.filter(~is_frequent), shards).select("shard", "hi", "lo"), "line-exceptions")
+    gone = probe(tables, wrong, keys.withColumn("shard", shard), shards)
+    gone = saved(gone.groupBy("doc_id", "print").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at")).select(F.col("doc_id").alias("g_id"), F.col("print").alias("g_print"), "at"), "line-gone")
+    size = gone.agg(F.sum(F.size("at") * 4 + 48).alias("b")).first()["b"] or 0
+    discard(keys, tables, wrong, *([] if counted is None else [counted]))
+    lines = _named(docs).select("doc_id", "print", "text", F.split("text", "\n").alias("lines"))
+    lines = lines.join(maybe_broadcast(gone, size, rows=False), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("print") == F.col("g_print")), "left")
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("at"))
+    kept = F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
+    return lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("at"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
 
 
 def line_digests(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
