@@ -1,7 +1,7 @@
 """Quality rules: a threshold table compiled into one Spark projection.
 
 Measures are built-in expressions only.  ``THRESHOLDS`` is data: each row names
-a ratio (numerator, denominator; ``one`` for a plain count), the bound it must keep and the smallest text
+a ratio (numerator and denominator), the bounds it must keep and the smallest text
 it applies to; ``verdict`` compiles the table into one boolean expression.
 
 Null or empty texts have zero words and fail the base rule.  All other columns
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import GAP, GAP_CHARS, id_text
 
 WINDOW = 5
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Frequent function words of English, German, French, Spanish,
 # Italian, Portuguese and Dutch.
@@ -49,8 +50,8 @@ THRESHOLDS = (
     Threshold("mean_word_length", "word_chars", "n_words", 1500, 20000),
     Threshold("symbols_per_word", "n_symbols", "n_words", None, 250),
     Threshold("duplicate_lines", "n_dup_lines", "n_lines", None, 700),
-    Threshold("distinct_stop_words", "n_stop_words", "one", 1000, None, 100),
-    Threshold("words_per_line", "n_words", "n_lines", 1000, None),
+    Threshold("stop_words_per_word", "n_stop_words", "n_words", 60, None, 100),
+    Threshold("words_per_line", "n_words", "n_lines", 2000, None),
 )
 
 
@@ -76,12 +77,12 @@ def measures(docs: DataFrame) -> DataFrame:
         F.size("_words") >= WINDOW,
         F.transform(F.sequence(F.lit(0), F.size("_words") - WINDOW), lambda i: F.xxhash64(*[word(i + k) for k in range(WINDOW)])),
     ).otherwise(F.array().cast("array<long>"))
-    stops = F.array(*[F.lit(w) for w in stop_words()])
+    is_stop = lambda w: F.translate(w, _UPPER, _LOWER).isin(stop_words())
     step = step.select(
         "doc_id", "word_chars", "n_symbols", F.size("_words").cast("long").alias("n_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_intersect("_words", stops)).cast("long").alias("n_stop_words"), windows.alias("_windows"),
+        F.size(F.filter("_words", is_stop)).cast("long").alias("n_stop_words"), windows.alias("_windows"),
     )
     # Only texts with a window twice are sorted: (hash, place), neighbours of equal hash are repeats.
     pairs = F.when(
@@ -111,7 +112,7 @@ def verdict(thresholds: tuple[Threshold, ...] = THRESHOLDS) -> Column:
     """The threshold table as one expression: true where no bound is broken."""
     good = F.lit(True)
     for rule in thresholds:
-        top, bottom = F.col(rule.top) * 1000, F.lit(1) if rule.bottom == "one" else F.col(rule.bottom)
+        top, bottom = F.col(rule.top) * 1000, F.col(rule.bottom)
         holds = F.lit(True)
         if rule.low is not None:
             holds = holds & (top >= bottom * rule.low)
@@ -144,7 +145,7 @@ m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\
              length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
              (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
              len(ls)::BIGINT AS n_lines,
-             len(list_intersect(ws, [STOPS]))::BIGINT AS n_stop_words
+             len(list_filter(ws, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN (STOPS)))::BIGINT AS n_stop_words
       FROM w LEFT JOIN v USING (doc_id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND RULES AS kept FROM b
@@ -154,6 +155,6 @@ SELECT *, NOT base_failed AND RULES AS kept FROM b
 def oracle(thresholds: tuple[Threshold, ...] = THRESHOLDS) -> str:
     rules = []
     for r in thresholds:
-        bounds = [f"{r.top} * 1000 >= {r.bottom.replace('one', '1')} * {r.low}"] * (r.low is not None) + [f"{r.top} * 1000 <= {r.bottom.replace('one', '1')} * {r.high}"] * (r.high is not None)
+        bounds = [f"{r.top} * 1000 >= {r.bottom} * {r.low}"] * (r.low is not None) + [f"{r.top} * 1000 <= {r.bottom} * {r.high}"] * (r.high is not None)
         rules.append(f"(n_words < {r.at_least} OR ({' AND '.join(bounds)}))")
     return ORACLE.replace("STOPS", ", ".join(f"'{w}'" for w in stop_words())).replace("RULES", "(" + " AND ".join(rules) + ")")
