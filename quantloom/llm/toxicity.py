@@ -8,8 +8,10 @@ ones; counting contexts and not rows keeps copied documents from counting twice.
 The field's emissions (word, prefixes, suffix) and transitions are then fitted by
 maximum likelihood, and forward-backward marginals give spans and scores.
 
-A score is the largest marginal of a document.  Null and empty texts have no
-token and score 0.  Rows are scored one by one, so ties, repeated rows and extra
+A document's score comes from its marginals: the largest, their sum and the number
+of tokens go through a logistic output fitted on the sample, weighed to the share of
+toxic labels in the whole label table.  So one doubtful word is not enough, many are.
+Null and empty texts have no token and score 0.  Rows are scored one by one, so ties, repeated rows and extra
 columns don't matter; without labelled rows of both classes all scores are 0.
 """
 
@@ -23,15 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import held_out, id_text, tidy
-from quantloom.llm.samples import labelled_sample
+from quantloom.llm.samples import labelled_sample, share_of
 from quantloom.llm.textkernel import NOT_WORD, U64, Hasher, Slice, Words, lowered, mix, slices, stream, words
 
 THRESHOLD = 0.3
 #: Rows of label 0 and 1 in the fitting sample: clean text is what sets apart chance from cause.
 SAMPLE = (2400, 900)
-PREFIXES = (4, 5, 6)
+#: Longest text of the sample, in characters.
+LONGEST = 12_000
+PREFIXES = (4, 5, 6, 7, 8)
 SUFFIX = 4
-_KIND = stream(8, 21)
+#: Contexts of clean documents that a toxic word may have for each one of toxic documents.
+MOST_CLEAN = 0.25
+_KIND = stream(2 + len(PREFIXES), 21)
 _BITS = 22
 
 
@@ -46,7 +52,7 @@ def token_features(part: Slice) -> tuple[Words, np.ndarray]:
         column = hasher.ranges(found.starts, np.minimum(found.starts + k, found.ends)) ^ _KIND[1 + j]
         column[size < k] = 0
         columns.append(column)
-    column = hasher.ranges(np.maximum(found.ends - SUFFIX, found.starts), found.ends) ^ _KIND[6]
+    column = hasher.ranges(np.maximum(found.ends - SUFFIX, found.starts), found.ends) ^ _KIND[-1]
     column[size <= SUFFIX] = 0
     columns.append(column)
     return found, np.stack(columns, axis=1) if len(found.starts) else np.zeros((0, len(columns)), dtype=U64)
@@ -70,6 +76,7 @@ class Field:
     weight: np.ndarray
     bias: float
     move: np.ndarray  # (2, 2) transition scores
+    output: np.ndarray | None = None  # weights of a document's measures
 
     def __post_init__(self):
         self.seen = np.zeros(1 << _BITS, dtype=bool)
@@ -169,7 +176,7 @@ def fit(sample: list[tuple[str, int]], rounds: int = 60, rate: float = 0.3, deca
         n = in_bad + in_good
         with np.errstate(divide="ignore", invalid="ignore"):
             gain = np.where(in_bad > 0, in_bad * np.log(in_bad / (n * share)), 0.0) + np.where(in_good > 0, in_good * np.log(in_good / (n * (1 - share))), 0.0)
-        lexicon.append(names[(docs_bad >= 3) & (gain >= np.log(len(names)) + 1) & (in_good <= 0.02 * in_bad) & (names != 0)])
+        lexicon.append(names[(docs_bad >= 3) & (gain >= np.log(len(names)) + 1) & (in_good <= MOST_CLEAN * in_bad) & (names != 0)])
     toxic = np.zeros(len(feats), dtype=bool)
     for j, names in enumerate(lexicon):
         toxic |= np.isin(feats[:, j], names)
@@ -220,29 +227,59 @@ def fit(sample: list[tuple[str, int]], rounds: int = 60, rate: float = 0.3, deca
 
 def score_slice(part: Slice, field: Field) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
     """Score of each text, and its toxic spans as (byte start, byte end, marginal)."""
+    measures, count, spans = measure_slice(part, field)
     scores = np.zeros(len(part))
-    spans: list[list[tuple[int, int, float]]] = [[] for _ in range(len(part))]
+    if field.output is not None:
+        scores[count > 0] = 1 / (1 + np.exp(-np.clip(measures[count > 0] @ field.output, -30, 30)))
+    return scores, spans
+
+
+N_MEASURES = 4
+
+
+def measure_slice(part: Slice, field: Field) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int, float]]]]:
+    """For each text: log odds of the largest marginal, log of their sum, log of the tokens, 1; tokens; toxic spans."""
+    n = len(part)
+    spans: list[list[tuple[int, int, float]]] = [[] for _ in range(n)]
     found, feats = token_features(part)
-    if not len(feats):
-        return scores, spans
-    emission, hit = field.emissions(feats)
-    scores[found.count > 0] = 1 / (1 + np.exp(-np.clip(field.bias, -30, 30)))
-    chain = chains(part, found)
-    # a chain without evidence can't hold a span: only the others need the recursion
-    use = np.isin(chain, chain[hit])
-    if use.any():
-        p = marginals(emission[use], chain[use], field.move)
-        tokens = np.flatnonzero(use)
-        np.maximum.at(scores, found.doc[tokens], p)
-        for i, chance in zip(tokens[p >= 0.5], p[p >= 0.5], strict=True):
-            own = spans[found.doc[i]]
-            at = int(part.offsets[found.doc[i]])
-            start, end = int(found.starts[i]) - at, int(found.ends[i]) - at
-            if own and chain[i] == own[-1][3] and i == own[-1][4] + 1:
-                own[-1] = (own[-1][0], end, max(own[-1][2], float(chance)), chain[i], i)
-            else:
-                own.append((start, end, float(chance), chain[i], i))
-    return np.clip(scores, 0, 1), [[s[:3] for s in own] for own in spans]
+    rest = 1 / (1 + np.exp(-np.clip(field.bias, -30, 30)))
+    most, total = np.full(n, rest), np.zeros(n)
+    if len(feats):
+        emission, hit = field.emissions(feats)
+        chain = chains(part, found)
+        # a chain without evidence can't hold a span: only the others need the recursion
+        use = np.isin(chain, chain[hit])
+        if use.any():
+            p = marginals(emission[use], chain[use], field.move)
+            tokens = np.flatnonzero(use)
+            np.maximum.at(most, found.doc[tokens], p)
+            total = np.bincount(found.doc[tokens], np.where(hit[tokens], p, 0.0), minlength=n)
+            for i, chance in zip(tokens[p >= 0.5], p[p >= 0.5], strict=True):
+                own = spans[found.doc[i]]
+                at = int(part.offsets[found.doc[i]])
+                start, end = int(found.starts[i]) - at, int(found.ends[i]) - at
+                if own and chain[i] == own[-1][3] and i == own[-1][4] + 1:
+                    own[-1] = (own[-1][0], end, max(own[-1][2], float(chance)), chain[i], i)
+                else:
+                    own.append((start, end, float(chance), chain[i], i))
+    most = np.clip(most, 1e-6, 1 - 1e-6)
+    measures = np.stack([np.log(most / (1 - most)), np.log(total + 1e-2), np.log1p(found.count) / 4, np.ones(n)], axis=1)
+    return measures, found.count, [[s[:3] for s in own] for own in spans]
+
+
+def fit_output(sample: list[tuple[str, int]], field: Field, share: float, rounds: int = 40, decay: float = 1e-2) -> np.ndarray:
+    """Logistic weights of a document's measures by Newton's method; rows weighed so that ``share`` of them are toxic."""
+    rows = [measure_slice(part, field)[0] for part in slices(pa.array([t for t, _ in sample], pa.string()), 1 << 18)]
+    x, y = np.concatenate(rows), np.array([label for _, label in sample], dtype=float)
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    w = np.zeros(N_MEASURES)
+    ridge = decay * np.diag([1.0] * (N_MEASURES - 1) + [0.0])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + ridge + 1e-9 * np.eye(N_MEASURES)
+        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - ridge @ w)
+        w = w + step / max(1.0, float(np.abs(step).max()))
+    return w
 
 
 SPANS = "array<struct<start:int,end:int,p:double>>"
@@ -271,10 +308,18 @@ def tag_toxicity(docs: DataFrame, field: Field) -> DataFrame:
     return id_text(docs).mapInArrow(tidy(run), f"doc_id long, score double, spans {SPANS}")
 
 
+def learn(docs: DataFrame, labels: DataFrame) -> Field:
+    """The field and its output, from the bounded sample and the share of toxic labels."""
+    sample = labelled_sample(docs, labels, "toxic", SAMPLE, LONGEST)
+    field = fit(sample)
+    if len({label for _, label in sample}) == 2:
+        field.output = fit_output(sample, field, share_of(labels, "toxic"))
+    return field
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Fit on the labelled sample and score all documents."""
-    field = fit(labelled_sample(docs, labels, "toxic", SAMPLE))
-    return tag_toxicity(docs, field).select(
+    return tag_toxicity(docs, learn(docs, labels)).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), "spans",
     )
