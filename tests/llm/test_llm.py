@@ -1,6 +1,7 @@
 """Training-text operators: brute force, round trips, held-out accuracy, and the edge cases of every one."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -101,14 +102,38 @@ def test_repeat_words_against_brute_force(spark):
 
 
 # -------------------------------------------------------------------- operator 7
-def test_line_dedup_against_sql_and_by_join(rough, none):
+def test_line_dedup_against_sql(rough, none, monkeypatch):
     got = line_dedup.line_digests(rough)
     same_as(got, line_dedup.ORACLE, rough)
-    joined = line_dedup.dedup_lines(rough, broadcast_bytes=0).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
-    assert sorted(map(str, joined.collect())) == sorted(map(str, got.collect()))
+    # every shard holds one key, hot shards are dealt over many tasks: the same rows
+    monkeypatch.setattr(line_dedup, "TASK_KEYS", 3)
+    dealt = line_dedup.dedup_lines(rough, shard_keys=1).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, got.collect()))
     assert line_dedup.line_digests(none).collect() == []
     empty = [r for r in got.collect() if r["doc_id"] == 0][0]
     assert (empty["n_lines"], empty["n_dropped"], empty["kept_sha256"]) == (1, 0, hashlib.sha256(b"").hexdigest())
+    state = line_dedup.references(rough)
+    assert sorted(map(str, line_dedup.dedup_lines(rough, state=state).collect())) == sorted(map(str, line_dedup.dedup_lines(rough).collect()))
+
+
+def test_filter_hits_are_put_right_by_exceptions():
+    """Keys that share a fingerprint and a bucket with a frequent key pass the filter and are exceptions."""
+    rng = np.random.default_rng(3)
+    frequent = rng.integers(-(2**62), 2**62, 50)
+    twins = np.array([k ^ (1 << 20) for k in frequent.tolist()])  # same bucket and fingerprint in a small table
+    made = line_dedup.CuckooFilter.of(frequent)
+    assert made.contains(twins).all()
+    kinds = [0] + [1] * 50 + [2] * 100
+    keys = np.r_[frequent, twins]
+    rows = pa.RecordBatch.from_pydict({
+        "shard": pa.array([0] * 151, pa.int32()), "salt": pa.array([0] * 151, pa.int32()), "kind": pa.array(kinds, pa.int32()),
+        "table": pa.array([made.to_bytes()] + [None] * 150, pa.binary()), "hi": pa.array([None, *([7] * 50), *([7] * 100)], pa.int64()),
+        "lo": pa.array([None, *twins.tolist(), *keys.tolist()], pa.int64()), "doc_id": pa.array(range(151), pa.int64()), "print": pa.array(range(151), pa.int64()),
+        "at": pa.array([[0]] * 151, pa.list_(pa.int32())),
+    })
+    for size in (151, 7):
+        found = [x for out in line_dedup._probe(iter([rows.slice(i, size) for i in range(0, 151, size)])) for x in out.column(2).to_pylist()]
+        assert sorted(found) == sorted(frequent.tolist())
 
 
 def test_line_dedup_can_be_undone(rough):
@@ -270,16 +295,50 @@ def test_short_items_and_missing_ids(spark, rough):
     assert rough.filter("doc_id is null").count() == decontaminate.drop_leaks(rough, bench).filter("doc_id is null").count()
 
 
-def test_hamming_index_is_complete():
+def test_hamming_index_finds_all_within_the_radius(spark):
+    """Every pair within the radius is found, none beyond it, and the index looks at few of the others."""
     rng = random.Random(8)
-    for _ in range(300):
-        a = rng.getrandbits(64)
-        flips = rng.sample(range(64), rng.randint(0, decontaminate.RADIUS))
-        b = a
-        for f in flips:
-            b ^= 1 << f
-        block = lambda x, i: x >> (8 * i) & 255
-        assert any((block(a, i) ^ block(b, i)).bit_count() <= decontaminate.NEAR_BITS for i in range(decontaminate.BLOCKS))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    split = lambda x: [signed(x >> 64), signed(x & (1 << 64) - 1)]
+    items = [rng.getrandbits(128) for _ in range(60)]
+    windows = []
+    for i in range(200):
+        x = items[i % 60]
+        for bit in rng.sample(range(128), rng.choice([0, 5, 20, decontaminate.RADIUS - 1, decontaminate.RADIUS, decontaminate.RADIUS + 1, 64])):
+            x ^= 1 << bit
+        windows.append(x)
+    want = {(i, j) for i, w in enumerate(windows) for j, x in enumerate(items) if (w ^ x).bit_count() <= decontaminate.RADIUS}
+    of_items = spark.createDataFrame([(j, 12, split(x)) for j, x in enumerate(items)], "item_id long, n_words int, item_print array<long>")
+    of_windows = spark.createDataFrame([(i, 12, 0, split(x)) for i, x in enumerate(windows)], "doc_id long, n_words int, start int, window_print array<long>")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.close_items(of_windows, of_items).collect()}
+    assert got == want
+    assert [size for _, _, size in decontaminate.BLOCKS[:7]] == [9] * 6 + [10] and sum(size for _, _, size in decontaminate.BLOCKS) == 128
+    # unrelated fingerprints meet in a block 0.83 times, and almost none are within the radius
+    meet = sum(sum(math.comb(size, k) for k in range(3)) / 2**size for _, _, size in decontaminate.BLOCKS)
+    assert meet < 0.85 and sum(math.comb(128, k) for k in range(decontaminate.RADIUS + 1)) / 2**128 < 4e-6
+
+
+def test_simhash_and_its_recall_at_the_threshold(spark):
+    def mixed(h):
+        return int(simhash_hash[h])
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(150):
+        m = rng.choice([9, 18, 36, 45])
+        same = -(-m * 160 // 180)
+        a = [rng.getrandbits(63) for _ in range(m)]
+        rows += [(2 * i, a), (2 * i + 1, a[:same] + [rng.getrandbits(63) for _ in range(m - same)])]
+    df = spark.createDataFrame(rows, "i long, s array<long>")
+    hashes = df.select(F.explode("s").alias("h")).select("h", F.xxhash64("h").alias("x")).collect()
+    simhash_hash = {r["h"]: r["x"] for r in hashes}
+    found = {r["i"]: r["p"] for r in df.select("i", decontaminate.simhash("s").alias("p")).collect()}
+    for i, s in rows[:20]:
+        for half, hash_ in ((0, lambda h: h), (1, mixed)):
+            want = sum(1 << b for b in range(64) if 2 * sum((hash_(h) >> b) & 1 for h in s) > len(s))
+            assert found[i][half] & (1 << 64) - 1 == want
+    apart = [sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(found[2 * i], found[2 * i + 1], strict=True)) for i in range(150)]
+    assert max(apart) <= decontaminate.RADIUS and 15 < np.mean(apart) < 23
 
 
 # -------------------------------------------------------------------- operator 2
@@ -298,6 +357,29 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(r["taken"] - r["target"]) <= r["most"] for r in rows)
 
 
+def test_mix_goes_on_after_a_text_that_does_not_fit(spark):
+    """A text of half a source's words on the border doesn't keep shorter ones out."""
+    rows = [(i, "w " * (3000 if i % 40 == 0 else 20 + i % 7), ["a", "b", "c"][i % 3]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    same_as(mixing.mix(df), mixing.ORACLE, df)
+    short = F.when(F.col("size") < 100, F.col("copies"))
+    got = mixing.mix(df).groupBy("source", "target").agg(F.sum("taken").alias("taken"), F.min(short).alias("least"), F.max(short).alias("most")).collect()
+    # near the target, or every short text is taken
+    assert all(abs(r["taken"] - r["target"]) <= 30 or r["least"] == r["most"] for r in got)
+
+
+def test_inclusion_frequencies_follow_the_probabilities(spark):
+    """The same texts in many sources, with other random numbers: each length is taken as often as p says."""
+    sizes = [3, 5, 9, 17, 40, 70, 130] * 40
+    n = 40
+    rows = [(1000 * s + i, "w " * k, f"s{s:04d}") for s in range(n) for i, k in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, weights=(1,), total=0.6).groupBy("size").agg(F.avg("p").alias("p"), F.stddev("p").alias("sd"), F.avg("copies").alias("copies")).collect()
+    assert len({round(r["p"], 3) for r in got}) >= 5 and all(r["sd"] < 1e-9 for r in got)
+    for r in got:
+        assert abs(r["copies"] - r["p"]) < 0.06
+
+
 # -------------------------------------------------------------------- operator 3
 def test_simple8b_round_trip():
     rng = np.random.default_rng(0)
@@ -330,11 +412,12 @@ def test_token_output_against_the_tokenizer(spark, rough, none):
 
 
 # ------------------------------------------------------------- operators 1 and 5
-@pytest.mark.parametrize("run,label,least", [(queries.op1_toxicity, "toxic", 0.9), (queries.op5_quality_classifier, "quality", 0.95)])
+@pytest.mark.parametrize("run,label,least", [(queries.op1_toxicity, "toxic", 0.9), (queries.op5_quality_classifier, "quality", 0.97)])
 def test_classifiers_on_held_out_documents(spark, run, label, least):
     sf = "/root/testdata/sf0.1"
     rows = run(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").select("predicted", label).collect()
-    assert len(rows) > 500 and np.mean([r[0] == r[1] for r in rows]) >= least
+    hit = lambda said, true: np.mean([r[0] == said for r in rows if r[1] == true])
+    assert len(rows) > 500 and hit(1, 1) >= least and hit(1, 0) <= 0.03
 
 
 @pytest.mark.parametrize("run", [lambda d, la: toxicity.toxicity(d, la), lambda d, la: quality_mil.quality(d, la)])
