@@ -53,11 +53,7 @@ def encode(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         start = start[fits]
         selector[start] = s
         step[start] = size[fits]
-    jump, places, i = step.tolist(), [], 0
-    while i < n:
-        places.append(i)
-        i += jump[i]
-    at = np.array(places, dtype=np.int64)
+    at = _word_starts(step, ends, counts)
     chosen = selector[at]
     out = np.zeros(len(at), dtype=U64)
     padded = np.concatenate([ids, np.zeros(64, dtype=ids.dtype)])
@@ -75,6 +71,30 @@ def encode(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return out, first_word, ids[at[escaped]].astype(U64)
 
 
+#: Documents below which words are followed one by one.
+FEW = 12
+
+
+def _word_starts(step: np.ndarray, ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """First id of every word: all documents take a step at once, the last few long ones by themselves."""
+    opens = np.zeros(len(step), dtype=bool)
+    own = counts > 0
+    place, end = (ends - counts)[own], ends[own]
+    while len(place) > FEW:
+        opens[place] = True
+        place = place + step[place]
+        on = place < end
+        if not on.all():
+            place, end = place[on], end[on]
+    for i, stop in zip(place.tolist(), end.tolist(), strict=True):
+        jump, places, at = step[i:stop].tolist(), [], 0
+        while at < len(jump):
+            places.append(at)
+            at += jump[at]
+        opens[i + np.array(places, dtype=np.int64)] = True
+    return np.flatnonzero(opens)
+
+
 def decode(words: np.ndarray, first_word: np.ndarray, counts: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     """The ids of all documents of a block."""
     counts = np.asarray(counts, dtype=np.int64)

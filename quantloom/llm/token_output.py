@@ -106,6 +106,7 @@ class WordCache:
         self.code: dict[str | None, int] = {None: 0}
         self.starts = np.array([0, 1], dtype=np.int64)
         self.flat = np.array([END_ID], dtype=np.uint32)
+        self.lists: pa.LargeListArray | None = None
 
     def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.code)
@@ -149,13 +150,12 @@ class WordCache:
             code = np.zeros(0, dtype=np.int64)
         piece_end = np.cumsum(np.bincount(doc, minlength=len(part)))
         code = np.insert(code, piece_end, 0)
-        starts = self.starts[code]
-        size = self.starts[code + 1] - starts
-        before = np.zeros(len(size) + 1, dtype=np.int64)
-        np.cumsum(size, out=before[1:])
+        if self.lists is None or len(self.lists) != len(self.starts) - 1:
+            self.lists = pa.LargeListArray.from_arrays(pa.array(self.starts), pa.array(self.flat))
+        taken = self.lists.take(pa.array(code))
+        before = taken.offsets.to_numpy()
         own = np.diff(before[np.r_[0, piece_end + np.arange(1, len(part) + 1)]])
-        out = self.flat[np.arange(before[-1], dtype=np.int32) + np.repeat((starts - before[:-1]).astype(np.int32), size)]
-        return out, own
+        return taken.values.to_numpy(), own
 
 
 _CACHES: dict[str, WordCache] = {}
