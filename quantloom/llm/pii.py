@@ -63,10 +63,14 @@ _RUNS = {
     "ip": (_bytes(".", _DIGITS), _bytes("."), 7),
     "card": (_bytes(" -", _DIGITS), _bytes("", _DIGITS), 13),
     "phone": (_bytes("+ ().-", _DIGITS), _bytes("+"), 10),
+    "number": (_bytes("", _DIGITS), _bytes("", _DIGITS), 9),
     "code": (_bytes("_-+/=", _DIGITS, _UPPER, _LOWER), _bytes("", _DIGITS), 20),
 }
 
 
+_WORD = _bytes("_", _DIGITS, _UPPER, _LOWER, (128, 255))
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -155,10 +159,11 @@ def candidates(part: Slice, base: dict[int, dict[str, list[tuple[int, int]]]]):
     """(text index, byte start, byte end, kind, votes, features) outside base spans."""
     starts, ends = runs(part, "code")
     found = [(a, b) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    a, b = runs(part, "card")
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        for m in re.finditer(rb"[0-9]{9,}", part.data[x:y].tobytes()):
-            found.append((x + m.start(), x + m.end()))
+    a, b = runs(part, "number")
+    # digits inside a word or a longer code are no number of their own
+    data = np.r_[np.uint8(32), part.data, np.uint8(32)]
+    lone = ~((_WORD[data[a]] & ~np.isin(a, part.offsets)) | (_WORD[data[b + 1]] & ~np.isin(b, part.offsets)))
+    found += zip(a[lone].tolist(), b[lone].tolist(), strict=True)
     for x, y in sorted(set(found)):
         doc = int(np.searchsorted(part.offsets, x, side="right")) - 1
         if any(s < y and x < e for spans in base.get(doc, {}).values() for s, e in spans):

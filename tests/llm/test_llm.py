@@ -505,6 +505,35 @@ def test_shortest_phone_in_a_run_of_its_own(spark):
         assert not base or base in got[i]["spans"].split(",")
 
 
+def test_shortest_match_of_every_kind(spark):
+    """The least run lengths are those of the patterns: nothing shorter matches, the shortest is found alone and between marks."""
+    shortest = {"email": "a@b.c", "ip": "1.2.3.4", "card": "4222222222222", "phone": "+123456789"}
+    texts = [before + s + after for s in shortest.values() for before, after in (("", ""), ("é:", ",x"), ("\n", "\n"), ('"', '"'))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in pii.pii_digests(docs).collect()}
+    for i in range(len(texts)):
+        assert got[i] == tuple(int(k == i // 4) for k in range(4)), texts[i]
+    assert {k: least for k, (_, _, least) in pii._RUNS.items() if k in shortest} == {k: len(s) for k, s in shortest.items()}
+
+
+def test_weak_supervision_finds_numbers(spark):
+    """Account numbers after a key word are found, serial numbers without one are not."""
+    rng = random.Random(1)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    rows, true = [], set()
+    for i in range(300):
+        around = " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(12))
+        if i % 3 == 0:
+            true.add(i)
+            number = f"{rng.choice(['account', 'konto', 'cuenta:', 'compte', 'passport'])} {digits(rng.choice([9, 11]))}"
+        else:
+            number = f"serial {digits(rng.choice([10, 12, 21, 23]))}" if i % 3 == 1 else f"x{digits(11)}y"
+        rows.append((i, f"{around} {number} {around}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"] for r in pii.find_pii(df).collect() if "number:" in r["spans"]}
+    assert len(found & true) >= 0.9 * len(true) and len(found - true) <= 5
+
+
 def test_weak_supervision_finds_secrets(spark, none):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = {r["doc_id"]: r["spans"] for r in pii.find_pii(df).collect()}
