@@ -8,6 +8,7 @@ from pathlib import Path
 from typing import Any
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from quantloom.errors import IncompatibleSourceError, RuleNotApplicable, RuleUnavailableError
 from quantloom.functions.values import Notation
@@ -67,12 +68,15 @@ class Conversion:
         roles = how.identify(headers)
         if not roles:
             raise IncompatibleSourceError(f"{self.path}: no table for preparation {table['prepare']['how']!r}")
-        return how.join({r: frames[n].drop("_ord") for r, n in roles.items()}), Notation()
+        joined = how.join({r: frames[n] for r, n in roles.items()})
+        # the order of the joined rows is that of the rows they come from, table by table
+        orders = [c for c in joined.columns if c == "_ord" or c.endswith("._ord")]
+        return joined.select(*[q(c) for c in joined.columns if c not in orders], F.struct(*[q(c).alias(f"o{i}") for i, c in enumerate(orders)]).alias("_ord")), Notation()
 
     def _source(self, table: dict, level: str):
         if table.get("prepare"):
             df, notation = self._prepared(table)
-            return df, tuple(df.columns), notation
+            return df, tuple(c for c in df.columns if c != "_ord"), notation
         rule = self.document.rule(level, self.parameters)
         accepts = lambda h: not missing_columns(rule, h)
         own = table["input"]

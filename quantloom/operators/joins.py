@@ -68,7 +68,7 @@ def relationships(links: list[tuple[str, DataFrame]], on: str) -> DataFrame:
     return out.drop(on).distinct()
 
 
-def block_lookup(values: DataFrame, blocks: DataFrame, position: str, start: str, size_limit: int = 1 << 20) -> DataFrame:
+def block_lookup(values: DataFrame, blocks: DataFrame, position: str, start: str) -> DataFrame:
     """The block a global position falls in: greatest start at or below it (as-of, backward).
 
     Positions and starts go through one sort of their union in ranges of starts,
@@ -76,12 +76,6 @@ def block_lookup(values: DataFrame, blocks: DataFrame, position: str, start: str
     """
     marks = blocks.select(q(start).alias("_at"), F.struct(*[q(c).alias(c) for c in blocks.columns]).alias("_block"), F.lit(None).cast("struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in values.schema.fields) + ">").alias("_row"))
     rows = values.select(q(position).alias("_at"), F.lit(None).cast(marks.schema["_block"].dataType).alias("_block"), F.struct(*[q(c).alias(c) for c in values.columns]).alias("_row"))
-    if blocks.count() <= size_limit:
-        # few blocks (checked): each position finds its block by binary search in one array
-        starts = blocks.agg(F.array_sort(F.collect_list(F.struct(q(start).alias("s"), F.struct(*[q(c).alias(c) for c in blocks.columns]).alias("b")))).alias("_starts"))
-        found = values.join(F.broadcast(starts), F.lit(True), "left")
-        hit = F.try_element_at(F.filter("_starts", lambda x: x["s"] <= q(position)), F.lit(-1))
-        return found.select(*[q(c) for c in values.columns], hit["b"].alias("block")).filter(F.col("block").isNotNull()).select(*[q(c) for c in values.columns], "block.*")
     both = written(marks.unionByName(rows).repartitionByRange("_at").withColumn("_p", F.spark_partition_id()), "blocks")
     order = Window.partitionBy("_p").orderBy("_at", F.col("_row").isNotNull())
     local = both.withColumn("_own", F.last("_block", ignorenulls=True).over(order))

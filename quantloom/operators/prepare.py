@@ -113,14 +113,17 @@ def join_matrix_metadata(tables: Mapping[str, DataFrame]) -> DataFrame:
     meta_columns = [c for c in _META if c in precursors.columns]
     meta = precursors.select(q(_HASH), *[q(c) for c in meta_columns]).distinct()
     require_unique(meta, [_HASH], "precursor metadata")
-    per_run = precursors.drop(*meta_columns, "intensity")
+    per_run = precursors.drop(*meta_columns, "intensity", "_ord")
     require_unique(per_run, [_HASH, "run"], "precursor rows", nulls=True)
     require_unique(matrix, [_HASH], "matrix")
     require_referenced(matrix, meta, [(_HASH, _HASH)], "matrix hashes without precursor metadata")
-    samples = [c for c in matrix.columns if c != _HASH]
+    samples = [c for c in matrix.columns if c not in (_HASH, "_ord")]
     if not samples:
         raise InputPreparationError("the matrix has no sample columns")
-    rows = matrix.unpivot([q(_HASH)], [q(s) for s in samples], "run", "intensity")
+    ordered = "_ord" in matrix.columns
+    rows = matrix.unpivot([q(_HASH), *([q("_ord")] if ordered else [])], [q(s) for s in samples], "run", "intensity")
+    if ordered:  # the matrix's rows, and in each the order of its columns
+        rows = rows.withColumn("_ord", F.struct(q("_ord").alias("row"), F.array_position(F.array(*[F.lit(s) for s in samples]), F.col("run")).alias("column")))
     return rows.join(meta, _HASH, "left").join(per_run, [_HASH, "run"], "left")
 
 

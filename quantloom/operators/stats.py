@@ -16,11 +16,38 @@ def finite(col: Column) -> Column:
     return F.coalesce(F.abs(col.cast("double")) < float("inf"), F.lit(False))
 
 
+def _ranked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows with their rank in key order (``_rank``, from 0): ranks in range partitions, after the sizes of those before."""
+    parts = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[q(k) for k in keys]).withColumn("_p", F.spark_partition_id())
+    local = written(parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*[q(k) for k in keys])) - 1), name)
+    sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))  # one row for each partition
+    before = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    return local.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn("_rank", F.col("_b") + F.col("_r"))
+
+
 def six_numbers(df: DataFrame, name: str) -> DataFrame:
-    """min, first quartile, median, mean, third quartile, max of present values (linear quantiles)."""
-    x = F.when(finite(q(name)), q(name).cast("double"))
-    p = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.min(x).alias("min"), p[0].alias("q1"), p[1].alias("median"), F.avg(x).alias("mean"), p[2].alias("q3"), F.max(x).alias("max"))
+    """min, first quartile, median, mean, third quartile, max of present values (linear quantiles).
+
+    Values are counted first, so a hot value is one row; a quantile is read off the running
+    counts of range partitions, which no task holds as a whole.
+    """
+    x = q(name).cast("double")
+    counts = written(df.filter(finite(q(name))).groupBy(x.alias("x")).agg(F.count("*").alias("n")), "value-counts")
+    moments = counts.agg(F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("total"))
+    parts = counts.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x").withColumn("_p", F.spark_partition_id())
+    upto = F.sum("n").over(Window.partitionBy("_p").orderBy("x"))
+    local = written(parts.withColumn("_upto", upto), "value-ranks")
+    sizes = local.groupBy("_p").agg(F.sum("n").alias("_n"))
+    before = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    ranks = local.join(F.broadcast(before), F.col("_p") == F.col("_q")).select("x", (F.col("_b") + F.col("_upto")).alias("upto")).join(F.broadcast(moments.select("total")))
+    out = []
+    for share, label in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")):
+        at = (F.col("total") - 1) * F.lit(share)
+        low = F.min(F.when(F.col("upto") > F.floor(at), F.col("x")))
+        high = F.min(F.when(F.col("upto") > F.ceil(at), F.col("x")))
+        weight = F.max(at - F.floor(at))
+        out.append((low + (high - low) * weight).alias(label))
+    return moments.drop("total").join(F.broadcast(ranks.agg(*out))).select("min", "q1", "median", "mean", "q3", "max")
 
 
 def _moments(name: str) -> list[Column]:
@@ -51,11 +78,7 @@ def grid_quartiles(cells: DataFrame, name: str, keys: list[str], most: int = SAM
     own = cells.filter(finite(q(name))).select(*[q(k) for k in keys], q(name).cast("double").alias("_v"))
     n = own.count()
     if n > most:
-        parts = own.repartitionByRange(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[q(k) for k in keys]).withColumn("_p", F.spark_partition_id())
-        local = written(parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*[q(k) for k in keys])) - 1), "grid")
-        sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
-        before = sizes.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
-        local = local.join(F.broadcast(before), F.col("_p") == F.col("_q")).withColumn("_rank", F.col("_b") + F.col("_r"))
+        local = _ranked(own, keys, "grid")
         # rank r is on the grid i * (n - 1) // (most - 1) if some i maps to it
         own = local.filter(F.expr(f"((_rank * {most - 1} + {n - 2}) div {n - 1}) * {n - 1} div {most - 1} = _rank"))
     p = F.percentile(F.col("_v"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))

@@ -114,7 +114,7 @@ def width(value, unit: str) -> Tolerance:
     names = {"ppm": "ppm", "da": "Da", "daltons": "Da", "th": "Da"}
     if str(unit).strip().lower() not in names:
         raise ParamsError(f"unknown unit of a tolerance: {unit!r}")
-    return Tolerance(mode="absolute", value=float(value), unit=names[str(unit).strip().lower()])
+    return Tolerance(value=float(value), unit=names[str(unit).strip().lower()])
 
 
 def interval(low, high, unit: str) -> Tolerance:
@@ -128,7 +128,7 @@ def written(text: str | None) -> Tolerance | None:
     if text is None:
         return None
     if text.strip().lower() in ("dynamic", "automatic", "auto", "auto detected"):
-        return Tolerance(mode="automatic", label="Automatic calibration")
+        return Tolerance(label="Automatic calibration")
     m = re.fullmatch(r"\s*([0-9.]+)\s*([A-Za-z]+)\s*", text)
     if not m:
         raise ParamsError(f"unreadable tolerance {text!r}")
@@ -548,7 +548,7 @@ def from_log(text: str) -> Settings:
 
 def _log_width(key: str):
     """Tolerances in ppm; 0 is calibrated from the data."""
-    return lambda s: None if s.one(key) is None else (width(abs(float(s.one(key))), "ppm") if float(s.one(key)) else Tolerance(mode="automatic", label="Automatic calibration"))
+    return lambda s: None if s.one(key) is None else (width(abs(float(s.one(key))), "ppm") if float(s.one(key)) else Tolerance(label="Automatic calibration"))
 
 
 def _named_at(key: str, kind: str):

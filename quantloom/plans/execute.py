@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quantloom.errors import EXAMPLES, AxisCoercionError, ColumnComputationError, some
 from quantloom.functions import sequences, text
+from quantloom.functions.unimod import unimod
 from quantloom.functions.values import COERCE, drop_tokens, normalize_missing, unreadable
 from quantloom.operators import axis, cells, layers, layout
 from quantloom.operators.axis import Policy, field, q
@@ -41,14 +42,13 @@ def _coerced(frame: DataFrame, columns: tuple[ColumnRule, ...]) -> DataFrame:
 
 
 def _entries(plan: Plan) -> tuple[sequences.Modification, ...]:
+    """The modification map with masses, sites and positions of its accessions."""
     out = []
     for token, accession in plan.rule.modification_map.items():
-        number = token.lstrip("+")
-        try:
-            mass = float(number)
-        except ValueError:
-            mass = None
-        out += [sequences.Modification(token, accession, mass, position=p) for p in ("Anywhere", "N-term", "C-term")]
+        known = unimod(accession)
+        if known is None:
+            raise ColumnComputationError(f"modification map: {accession!r} of token {token!r} is not a known accession")
+        out.append(sequences.Modification(token, known.accession, known.mass, known.sites, known.position))
     return tuple(out)
 
 

@@ -140,6 +140,34 @@ def test_sequences():
         inside("PEMM", "Oxidation (P3)")
 
 
+def test_map_resolution_by_site_and_mass():
+    from quantloom.functions.unimod import TABLE, unimod
+
+    book = sequences.Tokens(tuple(sequences.Modification(k.name, k.accession, k.mass, k.sites, k.position) for k in TABLE))
+    run = sequences.from_tokens(book, INLINE)
+    # an oxidation sits on M alone, a phosphate on S, T and Y, a pyroglutamate on an N-terminal E
+    assert run("PEM(Oxidation)K") == ("PEM[UNIMOD:35]K", []) and run("PEK(Oxidation)K") == ("PEK[Oxidation]K", ["Oxidation"])
+    assert run("S(79.966)T(79.966)A(79.966)")[0] == "S[UNIMOD:21]T[UNIMOD:21]A[79.966]"
+    assert run("(Glu->pyro-Glu)EK")[0] == "[UNIMOD:27]-EK" and run("(Glu->pyro-Glu)QK")[1] == ["Glu->pyro-Glu"]
+    assert run("(-17.0265)QK")[0] == "[UNIMOD:28]-QK" and run("(Acetyl)AK")[0] == "[UNIMOD:1]-AK" and run("A(Acetyl)K")[1] == ["Acetyl"]
+    assert unimod("57.0215").accession == "UNIMOD:4" and unimod("gg").sites == ("K",) and unimod("nothing") is None and unimod("57.03") is None
+    first = sequences.Tokens((sequences.Modification("x", "U:1", 10.0, ("K",)), sequences.Modification("x", "U:2", 10.0005)))
+    assert sequences.from_tokens(first, INLINE)("K(x)A(x)K(10.0003)A(10.0003)")[0] == "K[U:1]A[U:2]K[U:1]A[U:2]"
+    assert sequences.from_tokens(sequences.Tokens((), True, "drop"), INLINE)("P(zz)") == ("P", [])
+
+
+def test_six_numbers_with_hot_values(spark):
+    import numpy as np
+
+    values = [3.0] * 500 + [float(i) for i in range(7)] + [None, float("nan"), float("inf")]
+    got = stats.six_numbers(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()
+    x = np.array([v for v in values if v is not None and np.isfinite(v)])
+    assert np.allclose(tuple(got), [x.min(), *np.quantile(x, [0.25, 0.5]), x.mean(), np.quantile(x, 0.75), x.max()])
+    few = stats.six_numbers(spark.createDataFrame([(1.0,), (2.0,), (4.0,), (8.0,)], "v double"), "v").first()
+    assert tuple(few) == (1.0, 1.75, 3.0, 3.75, 5.0, 8.0)
+    assert tuple(stats.six_numbers(spark.createDataFrame([], "v double"), "v").first()) == (None,) * 6
+
+
 def test_sequence_column(spark):
     df = spark.createDataFrame([("P(ox)",), ("P(ox)",), (None,), ("A(q)",)], "s string")
     out, unknown = sequences.with_sequences(df, ["s"], "f", sequences.from_tokens(TOKENS, INLINE))
@@ -166,8 +194,7 @@ def test_joins(spark):
         joins.require_referenced(a, b, [("k", "k2")], "a")
     pos = spark.createDataFrame([(0,), (4,), (9,), (-1,)], "p int")
     blocks = spark.createDataFrame([(0, "A"), (5, "B")], "start int, name string")
-    for limit in (0, 100):
-        assert rows(joins.block_lookup(pos, blocks, "p", "start", limit).select("p", "name")) == [(0, "A"), (4, "A"), (9, "B")]
+    assert rows(joins.block_lookup(pos, blocks, "p", "start").select("p", "name")) == [(0, "A"), (4, "A"), (9, "B")]
     fold = spark.createDataFrame([(1, "a", None, 1), (1, "a", "z", 2), (1, "a", "z", 3), (2, "b", None, 4)], "k int, s string, t string, o int")
     assert rows(joins.fold_rows(fold, ["k"], ["s", "t"], "o")) == [(1, "a", "null|z"), (2, "b", None)]
 

@@ -35,7 +35,7 @@ def names(mods):
 def test_json(tmp_path):
     r = read(tmp_path, json.dumps(SAGE), "Sage")
     assert (r.enzyme, r.combine_charge_states, r.min_precursor_charge, r.max_peptide_length) == ("Trypsin", False, 2, 30)
-    assert r.precursor_mass_tolerance == Tolerance(mode="absolute", value=10, unit="ppm") and r.fragment_mass_tolerance.unit == "Da"
+    assert r.precursor_mass_tolerance == Tolerance(value=10, unit="ppm") and r.fragment_mass_tolerance.unit == "Da"
     assert names(r.variable_mods) == [("M[Oxidation]", "UNIMOD:35"), ("Protein N-term[Acetyl]", "UNIMOD:1")]
     with pytest.raises(ParamsError):
         read(tmp_path, json.dumps(SAGE | {"precursor_tol": {"ppm": [-5, 10]}}), "Sage")
@@ -44,7 +44,7 @@ def test_json(tmp_path):
 def test_xml(tmp_path):
     r = read(tmp_path, MQPAR, "MaxQuant")
     assert (r.software_version, r.enzyme, r.enable_match_between_runs, r.semi_enzymatic, r.max_mods) == ("2.1", "Trypsin/P", True, False, 5)
-    assert r.fragment_mass_tolerance == Tolerance(mode="absolute", value=20, unit="ppm")
+    assert r.fragment_mass_tolerance == Tolerance(value=20, unit="ppm")
     assert names(r.fixed_mods) == [("C[Carbamidomethyl]", "UNIMOD:4")] and names(r.variable_mods)[1] == ("Protein N-term[Acetyl]", "UNIMOD:1")
 
 
@@ -116,5 +116,5 @@ def test_refusals(tmp_path):
     with pytest.raises(ValueError):
         Parameters(min_peptide_length=9, max_peptide_length=3)
     with pytest.raises(ValueError):
-        Tolerance(mode="absolute", value=1)
+        Tolerance(value=1)
     assert modification("X[odd]", "fixed").accession is None and unimod("79.9663")[0] == "UNIMOD:21"
