@@ -8,13 +8,18 @@ fixed log scores; line features are counted from labelled turns.  Viterbi gives
 the roles; runs of one role become turns in the canonical form.
 
 A conversation may hold a third of all rows, so it is never decoded in one task:
-blocks of ``BLOCK`` parts give (max, +) matrices from the role before a block to
-the role at its end, two streaming passes over these small matrices fix the role
+blocks of at most ``BLOCK`` rows give (max, +) matrices from the role before a block
+to the role at its end, two streaming passes over these small matrices fix the role
 at every border, and all blocks are then decoded independently.  The result is
 that of one Viterbi over the whole conversation.
 
-Null texts are empty lines.  Null parts come first; ties are ordered by text.
-Rows without conv_id form one conversation.  An empty table gives an empty result.
+A turn may run over many pieces and blocks.  Its head is written by the piece that
+opens it and its end by the piece that closes it, so the rows of a conversation, one
+below the other, are its canonical form, whatever the length of a turn.
+
+Null texts are empty lines.  Null parts come first, as many as there are; ties are
+in an order fixed by a hash of the text.  Rows without conv_id form one conversation.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -95,9 +100,11 @@ def block_matrix(emit: np.ndarray, border: np.ndarray) -> np.ndarray:
     return best
 
 
-def decode(emit: np.ndarray, border: np.ndarray, before: int, end: int) -> np.ndarray:
-    """Viterbi path of a block; before is -1 at the start of a conversation."""
+def decode(emit: np.ndarray, border: np.ndarray, before: int, end: int, first: int = -1) -> np.ndarray:
+    """Viterbi path of a block; before is -1 at the start of a conversation, first the role it starts with if known."""
     score = START + emit[0] if before < 0 else (ACROSS if border[0] else INSIDE)[before] + emit[0]
+    if first >= 0:
+        score = np.where(np.arange(len(ROLES)) == first, score, -np.inf)
     back = []
     for e, b in zip(emit[1:], border[1:], strict=True):
         step = score[:, None] + (ACROSS if b else INSIDE)
@@ -145,14 +152,20 @@ def _observed(rows: list[dict], table: np.ndarray):
     return seen, np.concatenate([emissions(s[1], s[2], table) for s in seen]), border
 
 
+_MATRIX = pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("opening", pa.list_(pa.float64())), ("matrix", pa.list_(pa.float64())), ("starts", pa.list_(pa.int64())), ("marked", pa.bool_())])
+_MATRIX_COLUMNS = "conv_id long, block long, opening array<double>, matrix array<double>, starts array<long>, marked boolean"
+
+
 def _matrices(table: np.ndarray):
     def run(batches):
         for (conv, block), rows in _groups(batches):
-            _, emit, border = _observed(rows, table)
+            seen, emit, border = _observed(rows, table)
             first = (START + emit[0]).tolist()
             rest = block_matrix(emit[1:], border[1:]) if len(emit) > 1 else np.where(np.eye(3, dtype=bool), 0.0, -np.inf)
             opening = (np.array(first)[:, None] + rest).max(0)
-            yield pa.RecordBatch.from_pylist([{"conv_id": conv, "block": block, "opening": opening.tolist(), "matrix": block_matrix(emit, border).ravel().tolist()}], schema=pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("opening", pa.list_(pa.float64())), ("matrix", pa.list_(pa.float64()))]))
+            # role before the block (row) and at its end: by way of which first role
+            ways = ((ACROSS if border[0] else INSIDE) + emit[0])[:, :, None] + rest[None, :, :]
+            yield pa.RecordBatch.from_pylist([{"conv_id": conv, "block": block, "opening": opening.tolist(), "matrix": ways.max(1).ravel().tolist(), "starts": ways.argmax(1).ravel().tolist(), "marked": bool(seen[0][1][0] >= 0)}], schema=_MATRIX)
 
     return run
 
@@ -172,12 +185,12 @@ def _forward(batches):
             out.append(row | {"before": None if score is None else score.tolist()})
             score = np.array(row["opening"]) if score is None else (score[:, None] + matrix).max(0)
             score = score - score.max()
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("opening", pa.list_(pa.float64())), ("matrix", pa.list_(pa.float64())), ("before", pa.list_(pa.float64()))]))
+        yield pa.RecordBatch.from_pylist(out, schema=_MATRIX.append(pa.field("before", pa.list_(pa.float64()))))
 
 
 def _backward(batches):
-    """Roles at the borders of each block, streaming from the last block."""
-    conv, end = _NONE, -1
+    """Roles at the borders of each block and whether its last turn ends there, streaming from the last block."""
+    conv, end, closes = _NONE, -1, True
     for batch in batches:
         out = []
         for row in batch.to_pylist():
@@ -185,25 +198,28 @@ def _backward(batches):
             if row["conv_id"] != conv:
                 conv = row["conv_id"]
                 last = np.array(row["opening"]) if row["before"] is None else (np.array(row["before"])[:, None] + matrix).max(0)
-                end = int(last.argmax())
+                end, closes = int(last.argmax()), True
             entry = -1 if row["before"] is None else int((np.array(row["before"]) + matrix[:, end]).argmax())
-            out.append({"conv_id": row["conv_id"], "block": row["block"], "entry": entry, "end": end})
-            end = entry
-        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("entry", pa.int32()), ("end", pa.int32())]))
+            first = -1 if entry < 0 else row["starts"][3 * entry + end]
+            out.append({"conv_id": row["conv_id"], "block": row["block"], "entry": entry, "end": end, "first": first, "closes": closes})
+            # the block before ends its last turn if this one opens a turn
+            end, closes = entry, first != entry or row["marked"]
+        yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("conv_id", pa.int64()), ("block", pa.int64()), ("entry", pa.int32()), ("end", pa.int32()), ("first", pa.int32()), ("closes", pa.bool_())]))
 
 
-def render(role: str, text: str) -> str:
-    return f"<|{role}|>\n{text.strip()}\n<|end|>"
+def render(role: str, text: str, opens: bool = True, closes: bool = True) -> str:
+    return (f"<|{role}|>\n" if opens else "") + text.strip() + ("\n<|end|>" if closes else "")
 
 
-_TURNS = "conv_id long, part long, turn long, recovered string, opens boolean, n_lines long, rendered string"
+_TURNS = "conv_id long, part long, place long, turn long, recovered string, opens boolean, closes boolean, n_lines long, rendered string"
+_TURN = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("place", pa.int64()), ("turn", pa.int64()), ("recovered", pa.string()), ("opens", pa.bool_()), ("closes", pa.bool_()), ("n_lines", pa.int64()), ("rendered", pa.string())])
 
 
 def _decoded(table: np.ndarray):
     def run(batches):
         for (conv, _), rows in _groups(batches):
             seen, emit, border = _observed(rows, table)
-            path = decode(emit, border, rows[0]["entry"], rows[0]["end"])
+            path = decode(emit, border, rows[0]["entry"], rows[0]["end"], rows[0]["first"])
             last, at, out = rows[0]["entry"], 0, []
             for row, (lines, marks, _, _) in zip(rows, seen, strict=True):
                 own = path[at : at + len(lines)]
@@ -211,29 +227,36 @@ def _decoded(table: np.ndarray):
                 cuts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1] or marks[i] >= 0), len(own)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     role = int(own[a])
-                    out.append({"conv_id": conv, "part": row["part"], "turn": k, "recovered": ROLES[role], "opens": bool(role != last or marks[a] >= 0), "n_lines": b - a, "rendered": render(ROLES[role], "\n".join(lines[a:b]))})
+                    out.append({"conv_id": conv, "part": row["part"], "place": row["place"], "turn": k, "recovered": ROLES[role], "opens": bool(role != last or marks[a] >= 0), "n_lines": b - a, "text": "\n".join(lines[a:b])})
                     last = role
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("turn", pa.int64()), ("recovered", pa.string()), ("opens", pa.bool_()), ("n_lines", pa.int64()), ("rendered", pa.string())]))
+            for this, closes in zip(out, [*(x["opens"] for x in out[1:]), rows[0]["closes"]], strict=True):
+                this["closes"] = closes
+                this["rendered"] = render(this["recovered"], this.pop("text"), this["opens"], closes)
+            yield pa.RecordBatch.from_pylist(out, schema=_TURN)
 
     return run
 
 
 def parse_transcripts(pieces: DataFrame, table: np.ndarray | None = None) -> DataFrame:
-    """Turns of each piece: conv_id, part, turn, recovered role, opens, n_lines, rendered.
+    """Turns of each piece: conv_id, part, place, turn, recovered role, opens, closes, n_lines, rendered.
 
-    ``opens`` is false where a piece goes on with the turn before it.
+    ``opens`` is false where a piece goes on with the turn before it, ``closes`` where the
+    turn goes on in the next piece; ``place`` and ``turn`` give the order of the rows.
     """
     table = feature_table(None) if table is None else table
     own = pieces.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("part").cast("long").alias("part"), F.col("text").cast("string").alias("text"))
-    own = own.withColumn("block", F.coalesce(F.floor(F.col("part") / BLOCK), F.lit(-1)).cast("long"))
-    own = saved(own.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "part", "text"), "transcript-pieces")
-    dealt = own.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "part", "text")
-    matrices = dealt.mapInArrow(_matrices(table), "conv_id long, block long, opening array<double>, matrix array<double>")
-    forward = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(_forward, "conv_id long, block long, opening array<double>, matrix array<double>, before array<double>")
-    ends = forward.sortWithinPartitions("conv_id", F.col("block").desc()).mapInArrow(_backward, "conv_id long, block long, entry int, end int")
-    ends = saved(ends.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "entry", "end"), "transcript-borders")
-    known = own.join(ends, own["conv_id"].eqNullSafe(F.col("c")) & (own["block"] == F.col("b"))).select("conv_id", "block", "part", "text", "entry", "end")
-    return known.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "part", "text").mapInArrow(_decoded(table), _TURNS)
+    # rows in order over range partitions, so that neither a conversation nor parts that are null or tie meet in one task
+    own = own.withColumn("_tie", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    order = ["conv_id", "part", "_tie", "_row"]
+    own = own.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
+    own = saved(own.select("conv_id", "part", "text", "place", F.shiftright("place", BLOCK.bit_length() - 1).alias("block")), "transcript-pieces")
+    dealt = own.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "place")
+    matrices = dealt.mapInArrow(_matrices(table), _MATRIX_COLUMNS)
+    forward = matrices.repartition("conv_id").sortWithinPartitions("conv_id", "block").mapInArrow(_forward, f"{_MATRIX_COLUMNS}, before array<double>")
+    ends = forward.sortWithinPartitions("conv_id", F.col("block").desc()).mapInArrow(_backward, "conv_id long, block long, entry int, end int, first int, closes boolean")
+    ends = saved(ends.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "entry", "end", "first", "closes"), "transcript-borders")
+    known = own.join(ends, own["conv_id"].eqNullSafe(F.col("c")) & (own["block"] == F.col("b"))).select("conv_id", "block", "part", "text", "place", "entry", "end", "first", "closes")
+    return known.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "place").mapInArrow(_decoded(table), _TURNS)
 
 
 # How raw transcripts mark their speakers, one style a conversation.
@@ -261,4 +284,4 @@ def chat_turns(conversations: DataFrame) -> DataFrame:
     """Strip the roles of conversations, recover them, and render canonical turns."""
     own = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text").cast("string").alias("text"))
     table = feature_table(own.filter(F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 != 2, F.lit(False))))
-    return parse_transcripts(raw_transcripts(own).drop("role"), table)
+    return parse_transcripts(raw_transcripts(own).drop("role"), table).drop("place")

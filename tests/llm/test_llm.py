@@ -552,7 +552,7 @@ def test_blocked_viterbi_is_viterbi(spark):
     df = spark.createDataFrame(conv, "conv_id long, part long, text string")
     table = transcripts.feature_table(None)
     got = {}
-    for r in transcripts.parse_transcripts(df, table).orderBy("conv_id", "part", "turn").collect():
+    for r in transcripts.parse_transcripts(df, table).orderBy("conv_id", "place", "turn").collect():
         got.setdefault(r["conv_id"], []).extend([transcripts.ROLES.index(r["recovered"])] * r["n_lines"])
     for c in range(4):
         seen = [transcripts.observe(t) for cc, _, t in conv if cc == c]
@@ -566,6 +566,41 @@ def test_blocked_viterbi_is_viterbi(spark):
         assert len(got[c]) == len(emit) and abs(score(got[c]) - score(transcripts.decode(emit, border, -1, -1).tolist())) < 1e-6
 
 
+def test_viterbi_against_enumeration():
+    """The best of all paths of short conversations, also where a block's first role is given."""
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        n = int(rng.integers(1, 7))
+        emit, border = rng.normal(0, 1, (n, 3)), rng.random(n) < 0.5
+        steps = [transcripts.ACROSS if b else transcripts.INSIDE for b in border]
+
+        def score(path, before, emit=emit, steps=steps):
+            opening = transcripts.START[path[0]] if before < 0 else steps[0][before, path[0]]
+            return opening + sum(steps[t][path[t - 1], path[t]] for t in range(1, len(path))) + sum(emit[t, r] for t, r in enumerate(path))
+
+        for before, end, first in ((-1, -1, -1), (1, 2, -1), (0, 1, 2 if n > 1 else 1)):
+            paths = [p for p in itertools.product(range(3), repeat=n) if (end < 0 or p[-1] == end) and (first < 0 or p[0] == first)]
+            got = tuple(transcripts.decode(emit, border, before, end, first).tolist())
+            assert got in paths and abs(score(got, before) - max(score(p, before) for p in paths)) < 1e-9
+
+
+def test_turns_over_many_pieces_are_canonical(spark):
+    """One head and one end for each turn, also over borders of blocks, and among ties and null parts."""
+    rows = [(1, p, ("User: start\n" if p == 0 else "Assistant: reply\n" if p == 150 else "") + "and so on and on") for p in range(300)]
+    rows += [(2, None, "same") for _ in range(200)] + [(2, 7, "Assistant: last")]
+    got = transcripts.parse_transcripts(spark.createDataFrame(rows, "conv_id long, part long, text string")).orderBy("conv_id", "place", "turn").collect()
+    for conv in (1, 2):
+        whole = "\n".join(r["rendered"] for r in got if r["conv_id"] == conv)
+        marks = re.findall(r"<\|(\w+)\|>", whole)
+        assert marks[1::2] == ["end"] * (len(marks) // 2) and len(marks) % 2 == 0 and set(marks[::2]) <= set(transcripts.ROLES)
+        assert all(a != b for a, b in zip(marks[::2], marks[2::2], strict=False))
+        assert whole.count("on and on" if conv == 1 else "same") == (300 if conv == 1 else 200)
+    first = "\n".join(r["rendered"] for r in got if r["conv_id"] == 1)
+    assert first.startswith("<|user|>\nstart") and "<|end|>\n<|assistant|>\nreply" in first and first.endswith("<|end|>")
+
+
 def test_roles_are_recovered(spark):
     conv = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
     got = transcripts.chat_turns(conv).filter("turn = 0").join(conv.select("conv_id", F.col("turn").alias("part"), "role"), ["conv_id", "part"])
