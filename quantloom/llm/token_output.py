@@ -247,15 +247,22 @@ def shard_bounds(docs: DataFrame, shards: int) -> np.ndarray:
     return np.unique(np.array(found or [], dtype=np.int64))
 
 
-def write_blocks(docs: DataFrame, tokenizer: str, shards: int | None = None, cache_words: int = CACHE_WORDS, encode_bytes: int = ENCODE_BYTES) -> DataFrame:
+def write_blocks(docs: DataFrame, tokenizer: str, shards: int | None = None, cache_words: int = CACHE_WORDS, encode_bytes: int = ENCODE_BYTES, batch_rows: int | None = None) -> DataFrame:
     """Encode and write all documents; the written table of blocks.
 
-    ``cache_words`` and ``encode_bytes`` trade a worker's memory for speed.
+    ``cache_words``, ``encode_bytes`` and ``batch_rows`` (rows that reach a worker at once;
+    the session's setting where it is not given) trade a worker's memory for speed.
     """
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     encoded = id_text(docs).mapInArrow(tidy(_encode(tokenizer, shard_bounds(docs, shards), cache_words, encode_bytes)), ENCODED)
     ordered = encoded.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "n", "words")
-    return saved(ordered.mapInArrow(tidy(_block), BLOCKS), "token-blocks")
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    try:
+        conf.set(name, str(batch_rows or before))
+        return saved(ordered.mapInArrow(tidy(_block), BLOCKS), "token-blocks")
+    finally:
+        conf.set(name, before)
 
 
 def decode_block(row: dict) -> np.ndarray:
@@ -292,5 +299,5 @@ def read_digests(blocks: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(before), "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(docs: DataFrame, tokenizer: str, cache_words: int = CACHE_WORDS, encode_bytes: int = ENCODE_BYTES) -> DataFrame:
-    return read_digests(write_blocks(docs, tokenizer, None, cache_words, encode_bytes))
+def token_output(docs: DataFrame, tokenizer: str, cache_words: int = CACHE_WORDS, encode_bytes: int = ENCODE_BYTES, batch_rows: int | None = None) -> DataFrame:
+    return read_digests(write_blocks(docs, tokenizer, None, cache_words, encode_bytes, batch_rows))
