@@ -33,8 +33,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def output_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # workers share their executor with those of the other stages: less cache, same result
-    return token_output(docs, tokenizer_path(), cache_words=200_000, encode_bytes=2 << 20)
+    # workers share their executor with those of the other stages: less cache and smaller batches, same result
+    return token_output(docs, tokenizer_path(), cache_words=60_000, encode_bytes=1 << 19, batch_rows=1000)
 
 
 STAGES = [
