@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions import sequences, text
+from quantloom.functions.unimod import TABLE
 from quantloom.functions.values import (
     Notation, as_number, decode_factor, drop_tokens, encode_factor, normalize_missing, remap_strict, sentinel, strict_number, to_boolean, to_double, to_long,
 )
@@ -299,6 +300,55 @@ def columns_proforma(spark, d):
     return out.select("p_partkey", "form")
 
 
+def _brand(spark, d):
+    """Parts with the letters of their brand as a sequence, and a place in it by size."""
+    letters = F.upper(F.regexp_replace("p_brand", "[^A-Za-z]", ""))
+    return t(spark, d, "part").select("p_partkey", letters.alias("s"), (F.col("p_size") % F.length(letters) + 1).alias("at"))
+
+
+_BRAND = "(SELECT p_partkey, upper(regexp_replace(p_brand, '[^A-Za-z]', '', 'g')) AS s, p_size % length(upper(regexp_replace(p_brand, '[^A-Za-z]', '', 'g'))) + 1 AS place FROM part)"
+_OX = sequences.Tokens((sequences.Modification("ox", "UNIMOD:35"), sequences.Modification("ac", "UNIMOD:1", position="N-term")), False)
+
+
+@query(f"SELECT p_partkey, s AS bare FROM {_BRAND}")
+def columns_bare_sequence(spark, d):
+    """A plain sequence without its end marks."""
+    return _brand(spark, d).select("p_partkey", text.plain_sequence(F.concat(F.lit("_"), F.col("s"), F.lit("_"))).alias("bare"))
+
+
+@query(f"SELECT p_partkey, '[UNIMOD:1]-' || substr(s, 1, place::INT) || '[UNIMOD:35]' || substr(s, place::INT + 1) AS form FROM {_BRAND}")
+def sequences_site_list(spark, d):
+    """Names and sites in parallel lists; site 0 is the N-terminus."""
+    rows = _brand(spark, d).select("p_partkey", "s", F.lit("ac;OX").alias("names"), F.concat(F.lit("0;"), F.col("at").cast("string")).alias("sites"))
+    out, _ = sequences.with_sequences(rows, ["s", "names", "sites"], "form", sequences.from_site_lists(_OX))
+    return out.select("p_partkey", "form")
+
+
+@query(f"SELECT p_partkey, substr(s, 1, place::INT) || '[UNIMOD:35]' || substr(s, place::INT + 1) AS form FROM {_BRAND}")
+def sequences_embedded_sites(spark, d):
+    """Entries such as ``ox (R2)``, checked against the sequence."""
+    rows = _brand(spark, d).select("p_partkey", "s", F.concat(F.lit("ox ("), F.substring("s", F.col("at").cast("int"), F.lit(1)), F.col("at").cast("string"), F.lit(")")).alias("entries"))
+    out, _ = sequences.with_sequences(rows, ["s", "entries"], "form", sequences.from_embedded_sites(_OX, ",", r"(?P<token>\w+) \((?P<site>[^)]*)\)"))
+    return out.select("p_partkey", "form")
+
+
+@query(f"SELECT p_partkey, s AS form FROM {_BRAND}")
+def sequences_unknown_dropped(spark, d):
+    """The policy ``drop`` leaves tokens out that the map does not know."""
+    rows = _brand(spark, d).select("p_partkey", F.concat(F.substring("s", F.lit(1), F.col("at").cast("int")), F.lit("(odd)"), F.expr("substr(s, cast(at as int) + 1)")).alias("s"))
+    out, _ = sequences.with_sequences(rows, ["s"], "form", sequences.from_tokens(sequences.Tokens(_OX.entries, False, "drop"), r"\((?P<residue>[^()]*)\)"))
+    return out.select("p_partkey", "form")
+
+
+@query(f"SELECT p_partkey, substr(s, 1, place::INT) || CASE WHEN substr(s, place::INT, 1) IN ('N', 'Q') THEN '[UNIMOD:7]' ELSE '[0.984]' END || substr(s, place::INT + 1) AS form FROM {_BRAND}")
+def sequences_by_mass(spark, d):
+    """Masses resolve through the table of known modifications, only at the sites it allows."""
+    rows = _brand(spark, d).select("p_partkey", F.concat(F.substring("s", F.lit(1), F.col("at").cast("int")), F.lit("(0.984)"), F.expr("substr(s, cast(at as int) + 1)")).alias("s"))
+    known = sequences.Tokens(tuple(sequences.Modification(k.name, k.accession, k.mass, k.sites, k.position) for k in TABLE))
+    out, _ = sequences.with_sequences(rows, ["s"], "form", sequences.from_tokens(known, r"\((?P<residue>[^()]*)\)"))
+    return out.select("p_partkey", "form")
+
+
 # ------------------------------------------------------------------ checks
 @query("SELECT count(*) FILTER (l_tax > 0) / count(*) AS tax, count(*) FILTER (l_discount > 0.05) / count(*) AS discount FROM lineitem")
 def checks_occupancy(spark, d):
@@ -432,6 +482,39 @@ def prepare_prefix(spark, d):
     return prepare.prefixed(t(spark, d, "nation").select("n_name", "n_regionkey"), "nation")
 
 
+@query("SELECT c_custkey AS id, ids FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN (SELECT n_regionkey AS region, string_agg(n_name, ';' ORDER BY n_name) AS ids FROM nation GROUP BY 1) ON region = n_regionkey")
+def prepare_razor(spark, d):
+    """Rows with the members of that of their groups which holds their leading member."""
+    nation = t(spark, d, "nation")
+    groups = nation.groupBy(F.col("n_regionkey").alias("id")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ";").alias("Protein IDs"))
+    every = F.lit(";".join(str(r["id"]) for r in groups.select("id").orderBy("id").collect()))  # five regions
+    rows = t(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("Leading razor protein"), every.alias("Protein group IDs"))
+    out = prepare.join_razor_groups({"evidence": rows, "protein": groups})
+    return out.select(q("evidence.id").alias("id"), q("protein.Protein IDs").alias("ids"))
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey")
+def prepare_protein_sets(spark, d):
+    """Rows with the columns of the one set they name."""
+    ions = t(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("protein_set_id"))
+    sets = t(spark, d, "customer").select(F.col("c_custkey").alias("protein_set_id"), "c_name")
+    out = prepare.join_protein_sets({"peptidoform_ion": ions, "protein": sets})
+    return out.select(q("peptidoform_ion.o_orderkey").alias("o_orderkey"), q("protein.c_name").alias("c_name"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE contains(event_type, 'i') AND value >= 10")
+def prepare_equality(spark, d):
+    """Rows whose two marks have one value each."""
+    rows = t(spark, d, "events").select("event_id", "event_type", F.when(F.contains("event_type", F.lit("i")), 1).otherwise(2).alias("Full Sequences Mapped"), F.initcap((F.coalesce(F.col("value") < 10, F.lit(True))).cast("string")).alias("Random RT"))
+    return prepare.single_mapped_peaks({"peaks": rows}).select("event_id", "event_type")
+
+
+@query("SELECT event_id, event_type FROM events WHERE NOT contains(event_type, 'i')")
+def prepare_unambiguous(spark, d):
+    """Rows whose name holds no mark of ambiguity."""
+    return prepare.unambiguous_peptides({"peptides": t(spark, d, "events").select("event_id", "event_type")}, "event_type", "i")
+
+
 # ---------------------------------------------------------------- reshaping
 @query("SELECT l_partkey AS var_pos, l_linenumber::BIGINT AS obs_pos, round(sum(l_quantity), 6) AS value FROM lineitem GROUP BY ALL HAVING round(sum(l_quantity), 6) <> 10")
 def reshape_sparse(spark, d):
