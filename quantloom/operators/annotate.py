@@ -15,15 +15,54 @@ from quantloom.operators.align import select_observations
 from quantloom.operators.axis import q
 from quantloom.result import OBS, Level, Levels
 
-#: Unmatched observations times unmatched rows that a fuzzy match may compare.
-FUZZY_LIMIT = 4_000_000
+#: Names of either side that a fuzzy match compares in one task.
+FUZZY_BLOCK = 512
 _KEY = re.compile(r"(?i)^(?:channel|relative|raw|file|run)")
 
 
+def tokens(name: str | None) -> str:
+    return " ".join(re.findall(r"[a-z0-9]+", (name or "").lower()))
+
+
 def similarity(left: str, right: str) -> float:
     """Ratio of matching characters between the alphanumeric tokens of two names."""
-    a, b = (" ".join(re.findall(r"[a-z0-9]+", x.lower())) for x in (left, right))
-    return SequenceMatcher(None, a, b, autojunk=False).ratio()
+    return SequenceMatcher(None, tokens(left), tokens(right), autojunk=False).ratio()
+
+
+def _block_best(near: int):
+    """Of one block of observations and one of rows, the pairs among the best of their observation or row.
+
+    A pair whose upper bound is below both is not scored in full.
+    """
+
+    def run(observations, rows):
+        import pandas as pd
+
+        left = [(o, tokens(a)) for o, a in zip(observations[OBS], observations["a"], strict=True)]
+        by_obs: dict[int, list] = {o: [] for o, _ in left}
+        best: dict[tuple[int, int], float] = {}
+        matcher = SequenceMatcher(None, autojunk=False)
+        for r, b in zip(rows["_row"], rows["b"], strict=True):
+            matcher.set_seq2(tokens(b))
+            by_row: list = []
+            for o, a in left:
+                own = by_obs[o]
+                floor = min(-own[-1][0] if len(own) == near else -1.0, -by_row[-1][0] if len(by_row) == 2 else -1.0)
+                matcher.set_seq1(a)
+                if matcher.real_quick_ratio() < floor or matcher.quick_ratio() < floor:
+                    continue
+                score = matcher.ratio()
+                own.append((-score, r))
+                own.sort()
+                del own[near:]
+                by_row.append((-score, o))
+                by_row.sort()
+                del by_row[2:]
+            best.update({(o, r): -s for s, o in by_row})
+        best.update({(o, r): -s for o, own in by_obs.items() for s, r in own})
+        return pd.DataFrame([(o, r, s) for (o, r), s in best.items()], columns=[OBS, "_row", "score"])
+
+    return run
 
 
 def annotation_key(columns: list[str]) -> str:
@@ -81,25 +120,19 @@ def match_exact(obs: DataFrame, key: str, table: DataFrame, table_key: str, alia
 def match_fuzzy(obs: DataFrame, key: str, table: DataFrame, table_key: str, cutoff: float, margin: float, near: int = 3) -> tuple[DataFrame, DataFrame]:
     """Exact pairs, then mutual best pairs of the rest; and near misses of what stays open.
 
-    A pair needs the cutoff, and the margin over the runner-up on both sides.  The
-    two sides are axes (one row a run); their product is checked before it is made.
+    A pair needs the cutoff, and the margin over the runner-up on both sides.  Every
+    observation is compared with every row, in blocks of ``FUZZY_BLOCK`` names a side;
+    a block returns only what may be among the best, so no side or product has a limit.
     """
     exact = match_exact(obs, key, table, table_key).persist()
     left = obs.join(exact.select(OBS), OBS, "left_anti").select(OBS, q(key).cast("string").alias("a")).persist()
     right = table.join(exact.select("_row"), "_row", "left_anti").select("_row", q(table_key).cast("string").alias("b")).persist()
-    size = left.count() * right.count()
-    if size > FUZZY_LIMIT:
-        raise AnnotationError(f"fuzzy matching would compare {size} pairs; limit {FUZZY_LIMIT}")
-    names = [(r["_row"], r["b"] or "") for r in right.collect()]  # bounded by the limit above
-
-    def score(batches):
-        import pandas as pd
-
-        for rows in batches:
-            out = [(o, r, similarity(a or "", b)) for o, a in zip(rows[OBS], rows["a"], strict=True) for r, b in names]
-            yield pd.DataFrame(out, columns=[OBS, "_row", "score"])
-
-    scored = left.mapInPandas(score, f"{OBS} long, _row long, score double")
+    n_left, n_right = (max(1, -(-side.count() // FUZZY_BLOCK)) for side in (left, right))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    one = left.withColumn("_lb", dealt(OBS, n_left)).withColumn("_rb", every(n_right)).groupBy("_lb", "_rb")
+    other = right.withColumn("_rb", dealt("_row", n_right)).withColumn("_lb", every(n_left)).groupBy("_lb", "_rb")
+    scored = one.cogroup(other).applyInPandas(_block_best(max(near, 2)), f"{OBS} long, _row long, score double")
     by_obs, by_row = Window.partitionBy(OBS).orderBy(F.desc("score"), "_row"), Window.partitionBy("_row").orderBy(F.desc("score"), OBS)
     ranked = scored.select("*", F.row_number().over(by_obs).alias("ro"), F.lead("score", 1, 0.0).over(by_obs).alias("so"), F.row_number().over(by_row).alias("rr"), F.lead("score", 1, 0.0).over(by_row).alias("sr")).persist()
     pairs = ranked.filter((F.col("ro") == 1) & (F.col("rr") == 1) & (F.col("score") >= cutoff) & (F.col("score") - F.col("so") >= margin) & (F.col("score") - F.col("sr") >= margin))

@@ -56,11 +56,11 @@ def split(spark: SparkSession, path: str) -> MzTab:
             raise MzTabFormatError(f"{path}: {head} has unnamed or repeated columns")
         rows = lines.filter(F.col("p") == name)
         width = len(names)
-        beyond = F.exists(F.slice("f", width + 2, 100_000), lambda x: F.trim(x) != "")
+        beyond = F.exists(F.slice("f", width + 2, F.size("f")), lambda x: F.trim(x) != "")
         if rows.filter(beyond).limit(1).count():
             raise MzTabFormatError(f"{path}: {name} row has values beyond its {width}-column header")
         sections[name] = rows.select("line", *[F.coalesce(F.get("f", F.lit(i + 1)), F.lit("")).alias(c) for i, c in enumerate(names)])
-    rest = lambda n: F.trim(F.array_join(F.slice("f", n, 100_000), "\t"))
+    rest = lambda n: F.trim(F.array_join(F.slice("f", n, F.size("f")), "\t"))
     meta = lines.filter(F.col("p") == "MTD").select("line", F.trim(F.coalesce(F.get("f", F.lit(1)), F.lit(""))).alias("key"), rest(3).alias("value"))
     comments = lines.filter(F.col("p") == "COM").select("line", rest(2).alias("text"))
     return MzTab(meta, comments, sections)

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset, on one machine (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        import os
-        import tempfile
-
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "quantloom-checkpoints")
     return found.rstrip("/")
 

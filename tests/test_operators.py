@@ -12,7 +12,7 @@ from quantloom.errors import (
 )
 from quantloom.functions import sequences, text
 from quantloom.functions.values import Notation, as_number, encode_factor, normalize_missing, to_boolean, to_double, to_long
-from quantloom.operators import axis, cells, joins, layers, layout, prepare, stats
+from quantloom.operators import annotate, axis, cells, joins, layers, layout, prepare, stats
 from quantloom.operators.axis import Policy
 from quantloom.operators.cells import CellPolicy
 from quantloom.operators.layers import FactorLayer, NumericLayer
@@ -314,3 +314,34 @@ def test_reshaping(spark):
     assert rows(reshape.placeable_factors(spark.createDataFrame([(1, "f", "a"), (1, "f", "a"), (1, "g", "a"), (1, "g", "b")], "k int, f string, v string"), "k", "f", "v")) == [("f", 1, 2, True), ("g", 1, 2, False)]
     with pytest.raises(InputPreparationError):
         reshape.require_square(spark.createDataFrame([(0, 9)], "var_pos long, obs_pos long"), 2, 2)
+
+
+def brute_fuzzy(left, right, cutoff, margin):
+    """Mutual best pairs, from every score."""
+    score = {(o, r): annotate.similarity(a or "", b or "") for o, a in left for r, b in right}
+    found = set()
+    for (o, r), s in score.items():
+        own, other = ([(-x, k) for k, x in score.items() if k[i] == v] for i, v in ((0, o), (1, r)))
+        clear = lambda side: s - max([-x for x, k in side if k != (o, r)], default=0.0) >= margin
+        if s >= cutoff and min(own)[1] == (o, r) == min(other)[1] and clear(own) and clear(other):
+            found.add((o, r))
+    near = {(o, r) for o, _ in left if o not in {x for x, _ in found} for _, r in sorted((-score[o, r], r) for r, _ in right)[:3]}
+    return found, near
+
+
+@pytest.mark.parametrize("block", [1, 4, 512])
+def test_fuzzy_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(annotate, "FUZZY_BLOCK", block)
+    draw = random.Random(7)
+    parts = ["run", "Sample", "tmt", "plex-1", "lab", "01", "02", "b", "x_y"]
+    name = lambda: "_".join(draw.choices(parts, k=draw.randint(1, 5)))
+    left = [(i, f"o {name()}") for i in range(11)] + [(11, None), (12, ""), (13, "o twin run"), (14, "o twin run")]
+    right = [(100 + i, f"{name()}{i}") for i in range(9)] + [(109, "o-twin-run"), (110, None), (111, "?")]
+    obs, table = spark.createDataFrame(left, "obs_pos long, k string"), spark.createDataFrame(right, "_row long, k string")
+    for cutoff, margin in ((0.3, 0.0), (0.5, 0.05)):
+        found, misses = annotate.match_fuzzy(obs, "k", table, "k", cutoff, margin)
+        expected, near = brute_fuzzy(left, right, cutoff, margin)
+        assert {tuple(r) for r in found.collect()} == expected and expected
+        assert {(r[0], r[1]) for r in misses.collect()} == near
+    found, misses = annotate.match_fuzzy(obs, "k", table.limit(0), "k", 0.3, 0.0)
+    assert found.count() == 0 and misses.count() == 0
