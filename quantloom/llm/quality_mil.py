@@ -116,6 +116,23 @@ class Model:
         f["y"] = 1 / (1 + np.exp(-np.clip(f["bag"] @ p["o"] + p["c"], -30, 30)))
         return f
 
+    def gradients(self, f: dict[str, np.ndarray], error: np.ndarray) -> dict[str, np.ndarray]:
+        """Of each parameter, from the derivative of the loss by each text's logit."""
+        p = self.p
+        g = {"o": f["bag"].T @ error, "c": error.sum()}
+        d_bag = error[:, None] * p["o"]
+        own, att = f["own"], f["attention"]
+        d_att = (d_bag[own] * f["z"]).sum(1)
+        d_e = att * (d_att - np.add.reduceat(att * d_att, f["first"])[own])
+        tg = f["t"] * f["g"]
+        g["a"] = tg.T @ d_e
+        d_t, d_g = d_e[:, None] * p["a"] * f["g"] * (1 - f["t"] ** 2), d_e[:, None] * p["a"] * tg * (1 - f["g"])
+        g["v"], g["u"] = f["z"].T @ d_t, f["z"].T @ d_g
+        d_z = att[:, None] * d_bag[own] + d_t @ p["v"].T + d_g @ p["u"].T
+        d_z = d_z * (1 - f["z"] ** 2)
+        g["w"], g["b"] = f["x"].T @ d_z, d_z.sum(0)
+        return g
+
     def score(self, part: Slice) -> np.ndarray:
         x, bag = encode(part)
         return self.forward(x, bag)["y"] if len(bag) else np.zeros(0)
@@ -143,19 +160,7 @@ def fit(sample: list[tuple[str, int]], width: int = 12, rounds: int = 400, rate:
     m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
     for step in range(1, rounds + 1):
         f = model.forward(x, bag)
-        error = (f["y"] - y) * weight / len(y)
-        g = {"o": f["bag"].T @ error, "c": error.sum()}
-        d_bag = error[:, None] * p["o"]
-        own, att = f["own"], f["attention"]
-        d_att = (d_bag[own] * f["z"]).sum(1)
-        d_e = att * (d_att - np.add.reduceat(att * d_att, f["first"])[own])
-        tg = f["t"] * f["g"]
-        g["a"] = tg.T @ d_e
-        d_t, d_g = d_e[:, None] * p["a"] * f["g"] * (1 - f["t"] ** 2), d_e[:, None] * p["a"] * tg * (1 - f["g"])
-        g["v"], g["u"] = f["z"].T @ d_t, f["z"].T @ d_g
-        d_z = att[:, None] * d_bag[own] + d_t @ p["v"].T + d_g @ p["u"].T
-        d_z = d_z * (1 - f["z"] ** 2)
-        g["w"], g["b"] = f["x"].T @ d_z, d_z.sum(0)
+        g = model.gradients(f, (f["y"] - y) * weight / len(y))
         for k in p:
             grad = g[k] + decay * p[k]
             m[k] = 0.9 * m[k] + 0.1 * grad

@@ -431,6 +431,62 @@ def test_classifiers_on_rough_tables(rough, none, some_labels, run):
     assert quality_mil.keep_quality(rough, some_labels).columns == rough.columns
 
 
+def loop_score(model, text):
+    """One text through the model, passage by passage and number by number."""
+    raw = (text or "").encode()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    passages = []
+    for i in range(0, len(spans), quality_mil.PASSAGE):
+        own = spans[i : i + quality_mil.PASSAGE]
+        span, said = raw[own[0][0] : own[-1][1]], [raw[a:b].lower() for a, b in own]
+        shares = [sum(map(bool, kind[list(span)])) / len(span) for kind in quality_mil.CLASSES]
+        twins = sum(a == b for a, b in zip(said, said[1:], strict=False))
+        sizes = [len(set(said)) / len(own), twins / len(own), sum(map(len, said)) / len(own) / 10]
+        passages.append(shares + sizes + [math.log1p(len(own)) / 4, math.log1p(len(spans)) / 8, 1.0])
+    p, hidden, drawn = model.p, [], []
+    for x in passages or [[0.0] * quality_mil.N_FEATURES]:
+        x = [min(6.0, max(-6.0, (a - m) / d)) for a, m, d in zip(x, model.mean, model.scale, strict=True)]
+        layer = lambda x, w: [sum(a * w[i][j] for i, a in enumerate(x)) for j in range(len(w[0]))]
+        z = [math.tanh(a + b) for a, b in zip(layer(x, p["w"]), p["b"], strict=True)]
+        gate = [math.tanh(t) / (1 + math.exp(-u)) for t, u in zip(layer(z, p["v"]), layer(z, p["u"]), strict=True)]
+        hidden.append(z)
+        drawn.append(math.exp(sum(a * b for a, b in zip(gate, p["a"], strict=True))))
+    weights = [e / sum(drawn) for e in drawn]
+    bag = [sum(w * z[j] for w, z in zip(weights, hidden, strict=True)) for j in range(len(p["o"]))]
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(bag, p["o"], strict=True)) + float(p["c"]))))
+
+
+def test_quality_query_against_plain_loops(rough, some_labels):
+    model = quality_mil.fitted(rough, some_labels)
+    texts = sorted((str(r["doc_id"]), loop_score(model, r["text"])) for r in rough.select("doc_id", "text").collect())
+    found = sorted((str(r["doc_id"]), r["score"]) for r in quality_mil.quality(rough, some_labels).collect())
+    assert [d for d, _ in found] == [d for d, _ in texts] and len({round(s, 9) for _, s in found}) > 20
+    np.testing.assert_allclose([s for _, s in found], [s for _, s in texts], atol=1e-7)
+
+
+def test_quality_gradients_against_differences():
+    draw = np.random.default_rng(3)
+    bag = np.repeat([0, 1, 2, 3], [1, 5, 2, 7])
+    x, y, weight = draw.normal(size=(15, 6)), np.array([0.0, 1, 1, 0]), np.array([0.7, 1.3, 1.1, 0.4])
+    p = {"w": draw.normal(size=(6, 4)), "b": draw.normal(size=4), "v": draw.normal(size=(4, 4)), "u": draw.normal(size=(4, 4)), "a": draw.normal(size=4), "o": draw.normal(size=4), "c": np.array(0.2)}
+    model = quality_mil.Model(np.zeros(6), np.ones(6), p)
+
+    def loss():
+        said = model.forward(x, bag)["y"]
+        return -np.sum(weight * (y * np.log(said) + (1 - y) * np.log(1 - said)))
+
+    f = model.forward(x, bag)
+    for name, grad in model.gradients(f, (f["y"] - y) * weight).items():
+        for at in np.ndindex(p[name].shape):
+            kept, moved = p[name], []
+            for step in (1e-5, -1e-5):
+                p[name] = kept.copy()
+                p[name][at] += step
+                moved.append(loss())
+            p[name] = kept
+            assert abs((moved[0] - moved[1]) / 2e-5 - np.asarray(grad)[at]) < 1e-6
+
+
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(2)
     chain = np.array([0, 0, 0, 0, 1, 2, 2, 2])
